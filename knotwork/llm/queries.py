@@ -11,6 +11,10 @@ URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 MIX_WEIGHTS = [5, 2, 1]
 
 
+#: Rows that no model learns from.
+HELD_OUT = F.expr("crc32(cast(doc_id as string)) % 3 = 1")
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page; labelled pages are those whose id is a labelled document's."""
     from .url_filter import judge_urls, mine_rules
@@ -27,6 +31,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, learn(docs.select("doc_id", "text", "lang").filter(~HELD_OUT)))
+    return found.withColumnRenamed("id", "doc_id").select("doc_id", F.coalesce(HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).alias("quality"))
 
@@ -48,10 +60,6 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(turns.unionByName(spark.createDataFrame(TRICKY, turns.schema))))
 
 
-#: Rows that no model learns from.
-HELD_OUT = F.expr("crc32(cast(doc_id as string)) % 3 = 1")
-
-
 def toxicity_model(spark: SparkSession, sf_dir: str) -> dict:
     """Model from the labelled documents that are not held out."""
     from .toxicity import learn
@@ -67,6 +75,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id").select("doc_id", F.coalesce(HELD_OUT, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removed lines as "start:end" in characters of the original text, and the text that is left."""
+    from .substring_dedup import drop_repeated_units
+
+    found = drop_repeated_units(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return found.select(F.col("id").alias("doc_id"), "n_units", F.size("removed").alias("n_removed"), spans.alias("removed"), "text")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
@@ -77,9 +94,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
+    "op3_language": op3_language,
     "op5_mixing": op5_mixing,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_toxicity": op8_toxicity,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -100,6 +119,23 @@ ORACLES = {
                cast(sum(length('### ' || head || ': ' || body || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id
     """,
+    "op9_substring_dedup": r"""
+        WITH u AS (
+            SELECT doc_id, coalesce(text, '') AS text, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents
+        ), v AS (
+            SELECT doc_id, i, string_split(text, chr(10)) AS parts, parts[i + 1] AS unit,
+                   trim(regexp_replace(translate(parts[i + 1], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS plain
+            FROM u
+        ), w AS (
+            SELECT doc_id, i, unit, i + coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+                   len(string_split(plain, ' ')) >= 5 AND row_number() OVER (PARTITION BY plain ORDER BY doc_id, i) > 1 AS gone
+            FROM v
+        )
+        SELECT doc_id, cast(count(*) AS INTEGER) AS n_units, cast(count(*) FILTER (gone) AS INTEGER) AS n_removed,
+               coalesce(string_agg(cast(start AS BIGINT) || ':' || cast(start + length(unit) AS BIGINT), ',' ORDER BY i) FILTER (gone), '') AS removed,
+               coalesce(string_agg(unit, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
+        FROM w GROUP BY doc_id
+    """,
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
