@@ -10,8 +10,8 @@ A model is compiled into three machines that are composed with each text:
   score and pairs weigh nothing.
 
 The ids are the outputs of the shortest path in the tropical semiring. In a byte-pair model a
-string has exactly one path of finite weight, its encoding, and so has every prefix: one state
-per position is enough, and the first finite arc found is the shortest.
+string has exactly one path of finite weight, its encoding, and so has every prefix: the first
+path found is the shortest, and a position from which none goes on is never tried again.
 
 No piece crosses a place where a blank mark follows another character, or a character that
 occurs in no longer piece. Texts are cut there, which is exact, and the paths of recent cuts are
@@ -33,7 +33,7 @@ from .common import small_batches
 BLANK = "▁"
 INF = float("inf")
 #: Cuts whose paths a worker keeps.
-KEPT = 250_000
+KEPT = 300_000
 
 
 def load(path: str) -> dict:
@@ -66,8 +66,14 @@ class Transducer(dict):
     def __init__(self, model: dict):
         super().__init__()
         self.kind, self.prefix, self.pieces, self.bytes, self.unknown = (model[k] for k in ("kind", "prefix", "pieces", "bytes", "unknown"))
-        self.longest = max(map(len, self.pieces), default=1)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.names = {i: p for p, (i, _) in self.pieces.items()}
+        self.trie: dict = {}
+        for p, (i, _) in self.pieces.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = i
         joined = {c for p in self.pieces if len(p) > 1 for c in p} - {BLANK}
         crossing = any(BLANK in p.lstrip(BLANK) for p in self.pieces)
         some = "".join(map(re.escape, sorted(joined)))
@@ -96,34 +102,67 @@ class Transducer(dict):
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def weight(self, left: str, right: str) -> float:
-        """Of two neighbouring pieces."""
-        if self.kind == "unigram":
-            return -self.pieces[right][1] if right in self.pieces else -self.worst
-        apart = self.pairs.get((left, right))
-        if apart is None:
-            if len(self.pairs) > 4 * KEPT:
-                self.pairs.clear()
-            apart = self.pairs[left, right] = self.merge(left + right) == ([left, right] if left else [right])
-        return 0.0 if apart else INF
-
-    def path(self, cut: str) -> list[str]:
-        """Pieces, and characters that are none, on the shortest path through a cut."""
-        pieces, weight, single = self.pieces, self.weight, self.kind == "bpe"
-        cost, last = [0.0] + [INF] * len(cut), [""] * (len(cut) + 1)
-        for end in range(1, len(cut) + 1):
-            for start in range(max(0, end - self.longest), end):
-                p = cut[start:end]
-                if cost[start] < INF and (p in pieces or end == start + 1):
-                    w = cost[start] + weight(last[start], p)
-                    if w < cost[end]:
-                        cost[end], last[end] = w, p
-                        if single:
-                            break
-        out, at = [], len(cut)
-        while at:
-            out.append(last[at])
-            at -= len(last[at])
+    def apart(self, left: int, right: int) -> bool:
+        """Whether the pair acceptor weighs two neighbouring pieces 0, not infinity; -1: the start."""
+        if len(self.pairs) > 2 * KEPT:
+            self.pairs.clear()
+        a, b = self.names[left] if left >= 0 else "", self.names[right]
+        self.pairs[left << 20 | right] = found = self.merge(a + b) == ([a, b] if a else [b])
+        return found
+
+    def arcs(self, cut: str, at: int) -> list[tuple[int, int]]:
+        """Lexicon arcs (id or None, end) from a position, shortest first."""
+        node, out = self.trie, []
+        for end in range(at, len(cut)):
+            node = node.get(cut[end])
+            if node is None:
+                break
+            if "" in node:
+                out.append((node[""], end + 1))
+        return out if out and out[0][1] == at + 1 else [(None, at + 1), *out]
+
+    def path(self, cut: str) -> list[tuple[int | None, int]]:
+        """Arcs of the shortest path through a cut."""
+        return self._only(cut) if self.kind == "bpe" else self._best(cut)
+
+    def _only(self, cut: str) -> list[tuple[int | None, int]]:
+        """The path of weight 0: arcs are tried longest first, and a position that failed is never met again."""
+        out: list[tuple[int | None, int]] = []
+        waiting, dead, pairs, n = [self.arcs(cut, 0)], set(), self.pairs, len(cut)
+        at, last = 0, -1
+        while at < n:
+            arcs = waiting[-1]
+            while arcs:
+                piece, end = arcs.pop()
+                if end in dead:
+                    continue
+                if piece is not None and last is not None:
+                    fits = pairs.get(last << 20 | piece)
+                    if not (self.apart(last, piece) if fits is None else fits):
+                        continue
+                out.append((piece, end))
+                waiting.append(self.arcs(cut, end))
+                at, last = end, piece
+                break
+            else:
+                dead.add(at)
+                waiting.pop()
+                out.pop()
+                last, at = out[-1] if out else (-1, 0)
+        return out
+
+    def _best(self, cut: str) -> list[tuple[int | None, int]]:
+        cost, back = [0.0] + [INF] * len(cut), [None] * (len(cut) + 1)
+        for at in range(len(cut)):
+            for piece, end in self.arcs(cut, at):
+                c = cost[at] - (self.pieces[self.names[piece]][1] if piece is not None else self.worst)
+                if c < cost[end]:
+                    cost[end], back[end] = c, (piece, at)
+        out, end = [], len(cut)
+        while end:
+            piece, at = back[end]
+            out.append((piece, end))
+            end = at
         return out[::-1]
 
     def __missing__(self, cut: str) -> tuple[int, ...]:
@@ -134,11 +173,11 @@ class Transducer(dict):
 
     def ids(self, cut: str) -> tuple[int, ...]:
         ids: list[int] = []
-        for p in self.path(cut):
-            if p in self.pieces:
-                ids.append(self.pieces[p][0])
+        for piece, end in self.path(cut):
+            if piece is not None:
+                ids.append(piece)
             elif self.bytes:
-                ids.extend(self.bytes[b] for b in p.encode())
+                ids.extend(self.bytes[b] for b in cut[end - 1].encode())
             else:
                 ids.append(self.unknown)
         return tuple(ids)
