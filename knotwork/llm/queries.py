@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+#: Piece model of the box; where others keep it is a parameter.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 MIX_WEIGHTS = [5, 2, 1]
 
 
@@ -43,12 +45,28 @@ def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).alias("quality"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECES) -> DataFrame:
+    """Ids of each text, their number, and a digest of the text that decoding them gives."""
+    from .pieces import decode, encode, load
+
+    model = load(model_path)
+    found = decode(encode(table(spark, sf_dir, "documents"), model), model)
+    return found.select(F.col("id").alias("doc_id"), "ids", F.size("ids").alias("n_ids"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(table(spark, sf_dir, "documents"), quality_weights(spark, sf_dir), MIX_WEIGHTS)
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import neighbours
+
+    found = neighbours(table(spark, sf_dir, "embeddings"), F.expr("id % 100 = 0"))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 #: A conversation whose texts hold the template's control strings.
 TRICKY = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 
@@ -95,7 +113,9 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
     "op3_language": op3_language,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_mixing": op5_mixing,
+    "op6_neighbours": op6_neighbours,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
@@ -103,6 +123,13 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op6_neighbours": """
+        WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), d AS (
+            SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.v, c.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS score
+            FROM e q JOIN e c ON q.vec_id != c.vec_id WHERE q.vec_id % 100 = 0
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d)
+        SELECT query_id, cast(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+    """,
     "op7_chat_formatting": r"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
