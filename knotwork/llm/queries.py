@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -13,8 +13,11 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 MIX_WEIGHTS = [5, 2, 1]
 
 
-#: Rows that no model learns from.
-HELD_OUT = F.expr("crc32(cast(doc_id as string)) % 3 = 1")
+
+
+def held_out() -> Column:
+    """Whether no model may learn from a row."""
+    return F.coalesce(F.expr("crc32(cast(doc_id as string)) % 3 = 1"), F.lit(False))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +40,8 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify, learn
 
     docs = table(spark, sf_dir, "documents")
-    found = identify(docs, learn(docs.select("doc_id", "text", "lang").filter(~HELD_OUT)))
-    return found.withColumnRenamed("id", "doc_id").select("doc_id", F.coalesce(HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    found = identify(docs, learn(docs.select("doc_id", "text", "lang").filter(~held_out())))
+    return found.withColumnRenamed("id", "doc_id").select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +85,7 @@ def toxicity_model(spark: SparkSession, sf_dir: str) -> dict:
     """Model from the labelled documents that are not held out."""
     from .toxicity import learn
 
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~HELD_OUT)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out())
     return learn(table(spark, sf_dir, "documents"), labels)
 
 
@@ -90,7 +93,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
     found = toxicity(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
-    return found.withColumnRenamed("id", "doc_id").select("doc_id", F.coalesce(HELD_OUT, F.lit(False)).alias("held_out"), "score", "predicted")
+    return found.withColumnRenamed("id", "doc_id").select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
