@@ -81,18 +81,16 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(turns.unionByName(spark.createDataFrame(TRICKY, turns.schema))))
 
 
-def toxicity_model(spark: SparkSession, sf_dir: str) -> dict:
-    """Model from the labelled documents that are not held out."""
-    from .toxicity import learn
-
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out())
-    return learn(table(spark, sf_dir, "documents"), labels)
+def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the documents that are not held out."""
+    return table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out())
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .toxicity import toxicity
+    from .toxicity import learn, toxicity
 
-    found = toxicity(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity(docs, learn(docs, toxic_labels(spark, sf_dir)))
     return found.withColumnRenamed("id", "doc_id").select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
