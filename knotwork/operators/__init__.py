@@ -1,0 +1 @@
+"""What is asked of the data."""

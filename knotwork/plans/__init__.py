@@ -1,0 +1 @@
+"""Lattice, discovery and experiments."""

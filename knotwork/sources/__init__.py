@@ -1,0 +1 @@
+"""Scans, sessions and sinks."""

@@ -1,0 +1 @@
+"""No operator here: discovery is over bounded tables, as any new row can end a dependency."""
