@@ -214,12 +214,17 @@ class Words(dict):
     def __init__(self, transducer: Transducer, before: str):
         super().__init__()
         self.transducer, self.before = transducer, before
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > KEPT:
+        if len(self) > KEPT // 2:  # what isn't met again in this half leaves with the next
+            self.older = dict(self)
             self.clear()
-        t = self.transducer
-        self[word] = out = tuple(chain.from_iterable(map(t.ids, t.cuts.findall(self.before + word))))
+        out = self.older.get(word)
+        if out is None:
+            t = self.transducer
+            out = tuple(chain.from_iterable(map(t.ids, t.cuts.findall(self.before + word))))
+        self[word] = out
         return out
 
 
