@@ -110,35 +110,58 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 12_000, min_docs: int = 3, min_share: float = 0.6, lexicon: int = 3000) -> dict:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 12_000, min_docs: int = 3, min_share: float = 0.7, lexicon: int = 4000, clear: float = 0.9, cover: int = 3000) -> dict:
     """Model from the documents that ``labels`` (id, label 0 or 1) name.
 
     At most ``most`` ids of each label are used, those with the least hashes, so the texts that
-    the model is fitted on are bounded. Words and word beginnings of four to six letters become
-    insults when at least ``min_docs`` toxic documents and a share of ``min_share`` of all that
-    hold them (both labels brought to equal totals, two clean documents added) are toxic; at
-    most ``lexicon`` of each. Null labels and ids are left out; an id that repeats counts as
-    toxic if any of its labels is. Without toxic rows the lexicon is empty and every score low.
+    the model is fitted on are bounded. Candidates are words, and word beginnings of four to
+    seven letters, that at least ``min_docs`` toxic documents hold, of whose documents a share
+    of ``min_share`` is toxic, and whose log likelihood ratio against the general share exceeds
+    chance over all candidates; the ``lexicon`` best go on. Of these, insults are those with a
+    share of ``clear`` or more, and further ones chosen one by one, each the one that explains
+    most toxic documents without an insult so far (among ``cover`` of them), until the next
+    explains fewer than ``min_docs``. Null labels and ids are left out; an id that repeats
+    counts as toxic if any of its labels is. Without toxic rows the lexicon is empty and every
+    score low.
     """
+    small_batches(docs.sparkSession)
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.bool_or(F.col(label_col) == 1).alias("toxic"))
     known = known.withColumn("h", F.xxhash64("id", F.lit(3)))
     ids = [known.filter(F.col("toxic") == t).orderBy("h", "id").limit(most).select("id", "toxic") for t in (True, False)]
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    chosen = texts.join(F.broadcast(ids[0].union(ids[1])), "id").select("text", "toxic").persist()
+    chosen = texts.join(F.broadcast(ids[0].union(ids[1])), "id").select(F.xxhash64("id").alias("doc"), "text", "toxic").persist()
     try:
         n = {r[0]: r[1] for r in chosen.groupBy("toxic").count().collect()}
-        words = chosen.select("toxic", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)"))).alias("w"))
-        ends = words.select("toxic", "w", F.explode(F.array(F.lit(99), F.lit(4), F.lit(5), F.lit(6))).alias("n")).filter("n = 99 or length(w) > n")
-        # a document's words with one beginning count as often as they are, for both labels alike
-        counted = ends.groupBy(F.expr("substring(w, 1, n)").alias("w"), (F.col("n") < 99).alias("stem")).agg(F.count_if(F.col("toxic")).alias("bad"), F.count_if(~F.col("toxic")).alias("good"))
-        scale = n.get(True, 0) / max(1, n.get(False, 0))
-        share = F.col("bad") / (F.col("bad") + F.col("good") * min(1.0, scale) + 2 * min(1.0, scale))
-        strong = counted.filter((F.col("bad") >= min_docs) & (share >= min_share)).select("w", "stem", "bad", share.alias("share"))
-        top = strong.orderBy(F.desc(F.col("share") * F.log1p("bad")), "w").limit(2 * lexicon).collect()
+        words = chosen.select("doc", "toxic", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)"))).alias("w"))
+        ends = words.select("doc", "toxic", "w", F.explode(F.array(*map(F.lit, (99, 4, 5, 6, 7)))).alias("n")).filter("n = 99 or length(w) > n")
+        terms = ends.select("doc", "toxic", F.expr("substring(w, 1, n)").alias("w"), (F.col("n") < 99).alias("stem"))
+        # words of one document that begin alike count once
+        counted = terms.distinct().groupBy("w", "stem").agg(F.count_if(F.col("toxic")).alias("bad"), F.count_if(~F.col("toxic")).alias("good")).filter(F.col("bad") >= min_docs).persist()
+        base = n.get(True, 0) / max(1, sum(n.values()))
+        share = F.col("bad") / (F.col("bad") + F.col("good"))
+        log_of = lambda x: F.log(F.greatest(x, F.lit(1e-12)))
+        evidence = F.col("bad") * log_of(share / max(base, 1e-9)) + F.col("good") * log_of((1 - share) / max(1 - base, 1e-9))
+        strong = counted.filter((share >= min_share) & (evidence > math.log(max(1, counted.count())) + 3)).orderBy(F.desc(evidence), "stem", "w").limit(lexicon)
+        best = {(r["w"], r["stem"]): (r["bad"], r["good"]) for r in strong.select("w", "stem", "bad", "good").collect()}
+        some = chosen.filter("toxic").select("doc").distinct().orderBy("doc").limit(cover)
+        met = terms.join(F.broadcast(some), "doc").join(F.broadcast(strong.select("w", "stem")), ["w", "stem"]).distinct()
+        holds = {(r["w"], r["stem"]): set(r["docs"]) for r in met.groupBy("w", "stem").agg(F.collect_set("doc").alias("docs")).collect()}
+        counted.unpersist()
         model = {"words": {}, "stems": {}, "offsets": OFFSETS, "calibration": [1.0, 0.5, -2.0, -4.0]}
-        for r in top:
-            weight = min(8.0, max(0.5, math.log((r["share"] + 1e-3) / (1 - r["share"] + 1e-3)) * min(1.0, r["bad"] / 10) + 1))
-            model["stems" if r["stem"] else "words"][r["w"]] = round(weight, 2)
+        insults = {t for t, (bad, good) in best.items() if bad >= clear * (bad + good)}
+        explained = set().union(*(holds.get(t, set()) for t in insults))
+        holds = {t: left for t, docs in holds.items() if (left := docs - explained)}
+        while holds:
+            # whole words before beginnings, longer before shorter
+            top = max(holds, key=lambda t: (len(holds[t]), not t[1], len(t[0]), t[0]))
+            if len(holds[top]) < min_docs:
+                break
+            insults.add(top)
+            gone = holds.pop(top)
+            holds = {t: left for t, docs in holds.items() if (left := docs - gone)}
+        for word, stem in insults:
+            bad, good = best[word, stem]
+            model["stems" if stem else "words"][word] = round(min(8.0, max(0.5, math.log((bad + 0.1) / (good + 0.1)) + 1)), 2)
         text = json.dumps(model)
         seen = chosen.mapInArrow(_features(text), "best double, many double, scope string, toxic boolean")
         for r in seen.filter("scope != ''").groupBy("scope").agg(F.count_if(F.col("toxic")).alias("bad"), F.count("*").alias("n")).collect():
