@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 import numpy as np
@@ -31,7 +32,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of at most ``rows`` rows, so that a batch of long texts stays small."""
+    """Arrow batches of at most ``rows`` rows, so that a batch of long texts stays small.
+
+    Also names the folder of this package to Python workers, which inherit no path from a driver
+    that was started elsewhere. Clusters get the package by --py-files as usual.
+    """
+    own = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if own not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [own, *paths]))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

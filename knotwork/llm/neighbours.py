@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 #: Rows of a block, and queries that meet it in one task.
 BLOCK, QUERIES = 4096, 4096
@@ -120,6 +120,7 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, curves: int = 12, dims
     most ``sample`` rows, those with the least hashes; every row is ordered.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null and v is not null and size(v) > 0")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     rows = rows.filter(F.forall("v", finite) & F.exists("v", lambda x: x != 0))
