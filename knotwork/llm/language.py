@@ -131,7 +131,7 @@ class Predictor:
     def __init__(self, model: dict):
         self.families = model["families"]
         self.names = list(model["pairs"])
-        self.w = np.array([np.frombuffer(base64.b64decode(v), np.float32) for v in model["pairs"].values()]).reshape(len(self.names), -1)
+        self.w = np.array([np.frombuffer(base64.b64decode(v), np.float32) for v in model["pairs"].values()], np.float32).reshape(len(self.names), (1 << BITS) + 1)
         self.at = {n: i for i, n in enumerate(self.names)}
 
     def best(self, classes: list, margins: np.ndarray):
