@@ -43,8 +43,8 @@ def largest(sizes: DataFrame, k: int) -> DataFrame:
     return sizes.orderBy(F.desc("size"), *keys).limit(k)
 
 
-def sampled_groups(rel: Relation, lhs: int, how: Sampling) -> DataFrame:
-    """Groups of X that are checked first, with their sizes.
+def sampled_groups(rel: Relation, lhs: int, how: Sampling, total: int | None = None) -> DataFrame:
+    """Groups of X that are checked first, with their sizes; ``total`` rows, if known.
 
     Only the ``max_k`` or ``largest_k`` largest are ever ordered, each task keeping its own.
     """
@@ -52,7 +52,8 @@ def sampled_groups(rel: Relation, lhs: int, how: Sampling) -> DataFrame:
     if how.mode == "manual":
         return largest(sizes, how.largest_k)
     keys = [c for c in sizes.columns if c != "size"]
-    total = sizes.agg(F.sum("size")).first()[0] or 0
+    if total is None:
+        total = rel.df.agg(F.sum(COUNT)).first()[0] or 0
     top = largest(sizes, how.max_k)
     order = Window.orderBy(F.desc("size"), *keys)
     top = top.withColumns({"rank": F.row_number().over(order), "so_far": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))})

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,12 +151,13 @@ def _validate(rel: Relation, checks: list[tuple[int, int, int]], options: Option
     if options.sampling.enabled and by_lhs:
         stats.sent_to_sample += len(checks)
         with stats.phase("sampling"):
-            groups = {x: S.sampled_groups(rel, x, options.sampling).persist() for x in by_lhs}
-            for g in groups.values():
-                size = g.agg(F.count("*"), F.sum("size"), F.max("size")).first()
-                stats.sampled_groups += size[0]
-                stats.sampled_rows += size[1] or 0
-                stats.largest_group = max(stats.largest_group, size[2] or 0)
+            groups = {x: S.sampled_groups(rel, x, options.sampling, stats.rows).persist() for x in by_lhs}
+            sizes = [g.agg(F.count("*").alias("n"), F.sum("size").alias("rows"), F.max("size").alias("most")) for g in groups.values()]
+            for i in range(0, len(sizes), options.batch):
+                for size in reduce(DataFrame.unionByName, sizes[i : i + options.batch]).collect():
+                    stats.sampled_groups += size["n"]
+                    stats.sampled_rows += size["rows"] or 0
+                    stats.largest_group = max(stats.largest_group, size["most"] or 0)
         with stats.phase("sample_pass"):
             queries = [q for x, pairs in by_lhs.items() for q in V.mvd_verdicts(rel, x, pairs, S.rows_of(rel, x, groups[x]), options.max_expand)]
             failed = {xy for xy, holds in V.collect_verdicts(queries, options.batch).items() if not holds}
