@@ -127,15 +127,19 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     small_batches(docs.sparkSession)
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.bool_or(F.col(label_col) == 1).alias("toxic"))
     known = known.withColumn("h", F.xxhash64("id", F.lit(3)))
-    ids = [known.filter(F.col("toxic") == t).orderBy("h", "id").limit(most).select("id", "toxic") for t in (True, False)]
+    # a hash bound that keeps about twice what is wanted, so that no task orders more than that
+    total = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    share = F.create_map(*[x for t in (True, False) for x in (F.lit(t), F.lit(min(1.0, 2.0 * most / max(1, total.get(t, 1)))))])
+    near = known.filter(F.pmod("h", F.lit(1 << 30)) <= share[F.col("toxic")] * (1 << 30))
+    ids = [near.filter(F.col("toxic") == t).orderBy("h", "id").limit(most).select("id", "toxic") for t in (True, False)]
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    chosen = texts.join(F.broadcast(ids[0].union(ids[1])), "id").select(F.xxhash64("id").alias("doc"), "text", "toxic").persist()
+    chosen = texts.join(F.broadcast(ids[0].union(ids[1])), "id").select(F.xxhash64("text").alias("doc"), "text", "toxic").persist()
     try:
         n = {r[0]: r[1] for r in chosen.groupBy("toxic").count().collect()}
         words = chosen.select("doc", "toxic", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)"))).alias("w"))
         ends = words.select("doc", "toxic", "w", F.explode(F.array(*map(F.lit, (99, 4, 5, 6, 7)))).alias("n")).filter("n = 99 or length(w) > n")
         terms = ends.select("doc", "toxic", F.expr("substring(w, 1, n)").alias("w"), (F.col("n") < 99).alias("stem"))
-        # words of one document that begin alike count once
+        # words of one document that begin alike count once, and so do copies of it
         counted = terms.distinct().groupBy("w", "stem").agg(F.count_if(F.col("toxic")).alias("bad"), F.count_if(~F.col("toxic")).alias("good")).filter(F.col("bad") >= min_docs).persist()
         base = n.get(True, 0) / max(1, sum(n.values()))
         share = F.col("bad") / (F.col("bad") + F.col("good"))
@@ -182,15 +186,33 @@ def calibrate(x: np.ndarray) -> list[float]:
     none = math.log((rest[:, 3].sum() + 0.5) / (len(rest) - rest[:, 3].sum() + 50)) if len(rest) else -4.0
     if not len(hit):
         return [1.0, 0.5, -2.0, min(none, -1.0)]
-    a = np.column_stack([hit[:, 0], hit[:, 1], np.ones(len(hit))])
-    w, ridge = np.array([0.5, 0.5, -1.0]), np.diag([0.05, 0.05, 0.01])
-    for _ in range(50):
+    w = logistic(np.column_stack([hit[:, 0], hit[:, 1], np.ones(len(hit))]), hit[:, 3], np.array([0.05, 0.05, 0.01]))
+    return [*map(float, w), float(min(none, -1.0))]
+
+
+def logistic(a: np.ndarray, y: np.ndarray, ridge: np.ndarray) -> np.ndarray:
+    """Weights of least penalised logistic loss, by Newton steps that are halved until they help."""
+
+    def loss(w):
+        z = a @ w
+        return np.logaddexp(0, z).sum() - y @ z + 0.5 * (ridge * w * w).sum()
+
+    w = np.zeros(a.shape[1])
+    now = loss(w)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge, a.T @ (p - hit[:, 3]) + ridge @ w)
-        w = w - np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
+        slope = a.T @ (p - y) + ridge * w
+        step, t = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge), slope), 1.0
+        while t > 1e-6 and loss(w - t * step) > now - 1e-4 * t * (slope @ step):
+            t /= 2
+        new = loss(w - t * step)
+        if new >= now:
             break
-    return [*map(float, w), float(min(none, -1.0))]
+        w = w - t * step
+        if now - new < 1e-9 * max(1.0, now):
+            break
+        now = new
+    return w
 
 
 _SCORERS: dict[str, Scorer] = {}
