@@ -97,9 +97,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     prints = cut(rows.mapInArrow(_fingerprints, f"rid long, id {docs.schema[id_col].dataType.simpleString()}, h1 long, h2 long, n_bytes long, text_sha256 string"))
     key = ["h1", "h2", "n_bytes"]
-    groups = prints.groupBy(*key).agg(F.count("*").alias("group_size"), F.max(F.struct("id", "rid")).alias("last"))
-    shared = prints.join(groups.filter("group_size > 1").select(*key), key, "left_semi").select("rid", *key)
-    shared = cut(shared)
+    # cut, so that rows of a large group meet it in a join whose two sides are dealt apart and can be split
+    groups = _groups(prints, key)
+    shared = cut(prints.join(groups.select(*key), key, "left_semi").select("rid", *key))
     differing = _differing(rows, shared, key)
     if differing.isEmpty():
         split = prints.withColumn("part", F.lit(""))
@@ -107,8 +107,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         whole = rows.join(shared.join(differing, key, "left_semi"), "rid").select("rid", F.col("text").alias("part"))
         split = prints.join(whole, "rid", "left").withColumn("part", F.coalesce("part", F.lit("")))
         key = [*key, "part"]
-        groups = split.groupBy(*key).agg(F.count("*").alias("group_size"), F.max(F.struct("id", "rid")).alias("last"))
-    found = split.join(groups.filter("group_size > 1"), key, "left")
+        groups = _groups(split, key)
+    found = split.join(groups, key, "left")
     return found.select(
         "rid",
         "id",
@@ -119,6 +119,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def _groups(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Groups of more than one row, with a broadcast hint if they are few."""
+    groups = cut(rows.groupBy(*key).agg(F.count("*").alias("group_size"), F.max(F.struct("id", "rid")).alias("last")).filter("group_size > 1"))
+    return share_broadcast(groups, groups.count())
+
+
 def _differing(rows: DataFrame, shared: DataFrame, key: list[str]) -> DataFrame:
     """Fingerprints whose candidate texts differ in a chunk."""
     text = rows.join(share_broadcast(shared, shared.count()), "rid").select(*key, F.coalesce("text", F.lit("")).alias("text"))
