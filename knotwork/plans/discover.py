@@ -148,7 +148,7 @@ def _validate(rel: Relation, checks: list[tuple[int, int, int]], options: Option
     for x, y, z in checks:
         by_lhs.setdefault(x, []).append((y, z))
     verdicts: dict[tuple[int, int], tuple[str, bool]] = {}
-    if options.sampling.enabled and by_lhs:
+    if options.sampling.enabled and stats.distinct_rows >= options.sampling.from_rows and by_lhs:
         stats.sent_to_sample += len(checks)
         with stats.phase("sampling"):
             groups = {x: S.sampled_groups(rel, x, options.sampling, stats.rows).persist() for x in by_lhs}

@@ -326,7 +326,7 @@ def _registered() -> dict[str, tuple[Callable, str | None]]:
     found["minimal_mvds_strict"] = minimal_mvds("fd2", "strict")
     found["minimal_mvds_encoded"] = minimal_mvds("geo", representation="encoded")
     found["minimal_mvds_packed"] = minimal_mvds("fd2", representation="packed")
-    found["minimal_mvds_unsampled"] = minimal_mvds("fd2", sampling=S.Sampling(enabled=False))
+    found["minimal_mvds_sampled"] = minimal_mvds("fd2", sampling=S.Sampling(from_rows=0))
     found["minimal_mvds_without_fd"] = minimal_mvds("fd2", fd=False)
     return found
 
