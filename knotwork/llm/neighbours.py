@@ -148,7 +148,8 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, curves: int = 12, dims
     block = lambda r: F.floor(r / BLOCK)
     asked = placed.filter(is_query).select("curve", "id", "rank", "v", F.explode(F.sequence(F.greatest(F.lit(0), block(F.col("rank") - window)), block(F.least(F.lit(total - 1), F.col("rank") + window)))).alias("block"))
     # queries of one block are dealt over copies of it, about QUERIES to each
-    copies = math.ceil((2 * window + BLOCK) / QUERIES)
+    asking = some.filter(is_query).count() / max(1, total)
+    copies = math.ceil(min(1.0, 2 * asking) * (2 * window + BLOCK) / QUERIES) or 1
     asked = asked.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(copies)))
     held = placed.filter("copy").select("curve", "id", "rank", "v", block(F.col("rank")).alias("block"))
     held = held.join(asked.select("curve", "block", "chunk").distinct(), ["curve", "block"])
