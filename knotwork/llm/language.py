@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import cut, share_broadcast, small_batches
 
 BITS = 12
 UNKNOWN = "und"
@@ -94,8 +94,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     small_batches(docs.sparkSession)
     known = docs.filter(F.col(lang_col).isNotNull() & (F.col(lang_col) != "") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(5)).alias("h"))
     # a hash bound that keeps about four times what is wanted, so that no task orders more than that
-    total = known.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
-    known = known.join(total, F.col("lang") == F.col("of")).filter(F.pmod("h", F.lit(1 << 30)) <= F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("n")) * (1 << 30))
+    total = cut(known.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n")))
+    known = known.join(share_broadcast(total, total.count(), 10_000), F.col("lang") == F.col("of")).filter(F.pmod("h", F.lit(1 << 30)) <= F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("n")) * (1 << 30))
     ranked = known.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("r") <= per_language)
     ids = ranked.orderBy("r", "lang").limit(most).select("id").distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and lang != ''").join(F.broadcast(ids), "id")
