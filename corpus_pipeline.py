@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import exact_dedup, mixing, pieces, simhash, toxicity
+from knotwork.llm import exact_dedup, mixing, near_copies, pieces, toxicity
 from knotwork.llm.common import cut
 from knotwork.llm.queries import MIX_WEIGHTS, PIECES, quality_weights, toxic_labels
 
@@ -28,8 +28,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group that close fingerprints link, that with the smallest id."""
-    return simhash.drop_near_duplicates(docs).select(*COLUMNS)
+    """Keep one document of each group that five-word shingles of similarity 0.8 or more link, that with the smallest id."""
+    return near_copies.drop_near_copies(docs).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,25 +30,36 @@ SEED = 42
 KEEP = 3
 
 
-def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash of UTF-8 bytes: words of the text in ASCII lower case, shingles with repeats."""
+def shingle_hashes(data: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the shingles of UTF-8 bytes, with repeats; fewer words than a shingle's are one."""
     from xxhash import xxh64_intdigest as xx
 
     words = data.lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     if len(words) < shingle:
-        return xx(joined, SEED)
+        return np.array([xx(joined, SEED)], np.uint64)
     n = len(words) - shingle + 1
     spans = map(slice, starts[:n].tolist(), ends[shingle - 1 :].tolist())
-    hashes = np.fromiter(map(xx, map(joined.__getitem__, spans), repeat(SEED)), np.uint64, n)
+    return np.fromiter(map(xx, map(joined.__getitem__, spans), repeat(SEED)), np.uint64, n)
+
+
+def fold(hashes: np.ndarray) -> int:
+    """Each bit as most of the hashes have it."""
+    if not len(hashes):
+        return 0
     count = np.zeros(64, np.int64)
-    for i in range(0, n, 65536):
+    for i in range(0, len(hashes), 65536):
         count += np.unpackbits(hashes[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * count > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * count > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash of UTF-8 bytes: words of the text in ASCII lower case, shingles with repeats."""
+    return fold(shingle_hashes(data, shingle))
 
 
 def _fingerprints(batches: Iterator) -> Iterator:
