@@ -1,11 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Three transducers are composed. The lexicon maps a word to a class: insults and insulting word
-beginnings learned from labelled documents, and given threats, targets, negations and verbs of
-reported speech. The grammar reads the classes of one clause and follows what scope they are
-in; its arcs charge a negative cost for an insult or threat, less of it in the scope of a
-negation or of reported speech, more beside a target. The tropical shortest path through a
-clause is its score, so a word is scored by the clause that it stands in.
+Words map to classes by a lexicon: insults and insulting word beginnings learned from labelled
+documents, and given threats, targets, negations and verbs of reported speech. Five transducers,
+for insults, threats, targets, negations and reported speech, are composed and read the classes
+of one clause. A target counts before and after what is aimed at it, by nondeterministic arcs
+that guess whether one is still to come; negation and reported speech count for what follows
+them. Arcs charge a negative cost for an insult or threat, less of it in the scope of a negation
+or of reported speech, more beside a target. The tropical shortest path through a clause is its
+score, so a word is scored by the clause that it stands in.
 
 Only clauses with an insult or threat can score; an Aho-Corasick automaton of the lexicon finds
 them in the whole text. What scopes are worth is learned too: how often a labelled document is
@@ -34,27 +36,73 @@ TARGETS = "you your yours yourself u ur du dich dir dein deine ihr euch euer tu
 NEGATIONS = "not no never neither nor don't doesn't isn't aren't wasn't nicht kein keine nie niemals pas jamais aucun aucune nunca jamás ningún ninguna".split()
 REPORTS = "said says say claimed claims quoted quote reported called sagte sagt behauptete zitierte dit disait déclaré cité dijo dice afirmó citó".split()
 THREATS = "kill murder destroy hurt töten umbringen tuer détruire matar destruir".split()
-#: Cost of a threat word that is aimed at nobody, and of the scopes before learning.
-THREAT = -0.5
+#: Worth of a threat word that is aimed at nobody, before its target, and after it (or in another
+#: scope); and what scopes add before learning.
+THREAT = {"plain": 0.5, "ahead": 1.5, "aimed": 2.0}
 OFFSETS = {"plain": 0.0, "aimed": 0.5, "negated": -2.0, "reported": -1.5}
 CLAUSE = re.compile(r"[.!?;\n]")
 WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
 
 def grammar(offsets: dict[str, float]) -> Wfst:
-    """Grammar over word classes; an insult's class is ("insult", weight in tenths)."""
-    g = Wfst("plain")
-    levels = [("insult", w) for w in range(0, 121)] + ["threat"]
-    for state in ("plain", "aimed", "negated", "reported"):
-        g.end(state)
-        g.arc(state, None, state, 0.0, state)
-        g.arc(state, "target", "target", 0.0, "aimed" if state == "plain" else state)
-        g.arc(state, "negation", "negation", 0.0, "negated")
-        g.arc(state, "report", "report", 0.0, "reported")
-        for level in levels:
-            weight = level[1] / 10 if level != "threat" else (-THREAT if state == "plain" else 2.0)
-            g.arc(state, level, state, -max(0.0, weight + offsets[state]), state)
-    return g
+    """Insult, threat, target, negation and reported-speech transducers, composed in this order.
+
+    Reads word classes; an insult's class is ("insult", weight in tenths). The first two make
+    hits ("hit", weight, scope), the next two set their scope, the last one charges them.
+    """
+    words = [None, "target", "negation", "report"]
+    levels = [*range(0, 121), "threat"]
+    scopes = ("plain", "aimed", "ahead", "negated")
+
+    def passing(g: Wfst, state, labels, to=None) -> None:
+        for label in labels:
+            g.arc(state, label, label, 0.0, state if to is None else to)
+
+    insult = Wfst("read").end("read")
+    passing(insult, "read", [*words, "threat"])
+    for w in range(0, 121):
+        insult.arc("read", ("insult", w), ("hit", w, "plain"), 0.0, "read")
+
+    plain = [("hit", w, "plain") for w in levels]
+    threat = Wfst("read").end("read")
+    passing(threat, "read", [*words, *plain[:-1]])
+    threat.arc("read", "threat", plain[-1], 0.0, "read")
+
+    # a clause starts with a guess: no target at all, or one ahead, which then has to come
+    target = Wfst("start").end("start").end("none").end("seen")
+    passing(target, "none", [None, "negation", "report", *plain])
+    for state in ("start", "ahead"):
+        passing(target, state, ["target"], "seen")
+        passing(target, state, [None, "negation", "report"], "ahead")
+        for _, w, _ in plain:
+            target.arc(state, ("hit", w, "plain"), ("hit", w, "ahead"), 0.0, "ahead")
+    passing(target, "start", [None, "negation", "report", *plain], "none")
+    passing(target, "seen", words)
+    for _, w, _ in plain:
+        target.arc("seen", ("hit", w, "plain"), ("hit", w, "aimed"), 0.0, "seen")
+
+    # of negation and report, the later one counts
+    aimed = [("hit", w, scope) for w in levels for scope in scopes[:3]]
+    negation = Wfst("off").end("off").end("on")
+    passing(negation, "off", [None, "target", "report", *aimed])
+    passing(negation, "off", ["negation"], "on")
+    passing(negation, "on", [None, "target", "negation"])
+    passing(negation, "on", ["report"], "off")
+    for _, w, scope in aimed:
+        negation.arc("on", ("hit", w, scope), ("hit", w, "negated"), 0.0, "on")
+
+    report = Wfst("off").end("off").end("on")
+    for state in ("off", "on"):
+        passing(report, state, [None, "target"])
+        passing(report, state, ["report"], "on")
+        passing(report, state, ["negation"], "off")
+        for w in levels:
+            for scope in scopes:
+                found = "reported" if state == "on" else scope
+                weight = THREAT.get(found, THREAT["aimed"]) if w == "threat" else w / 10
+                found = "aimed" if found == "ahead" else found
+                report.arc(state, ("hit", w, scope), found, -max(0.0, weight + offsets[found]), state)
+    return insult.compose(threat).compose(target).compose(negation).compose(report)
 
 
 class Scorer:
