@@ -48,7 +48,7 @@ def tokens_of(url: Column) -> Column:
     return F.when(url.isNull(), F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(*parts)))
 
 
-def mine_rules(urls: DataFrame, url_col: str = "url", bad_col: str = "bad", min_support: float = 0.005, min_count: int = 20, min_confidence: float = 0.8, max_tokens: int = 3) -> DataFrame:
+def mine_rules(urls: DataFrame, url_col: str = "url", bad_col: str = "bad", min_support: float = 0.005, min_count: int = 20, min_confidence: float = 0.8) -> DataFrame:
     """Rules (tokens array, home string, confidence double, support_count long) for bad URLs.
 
     ``urls`` has a URL and a boolean per labelled row; rows with a null label are left out. A
@@ -60,10 +60,10 @@ def mine_rules(urls: DataFrame, url_col: str = "url", bad_col: str = "bad", min_
     if n < min_count:
         return urls.sparkSession.createDataFrame([], "tokens array<string>, home string, confidence double, support_count long")
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / n)), minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.filter((F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= max_tokens) & (F.col("lift") > 1))
+    rules = model.associationRules.filter((F.element_at("consequent", 1) == BAD) & (F.col("lift") > 1))
     rules = cut(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", F.round(F.col("support") * n).cast("long").alias("support_count")))
-    # a rule that a shorter one implies adds nothing
-    inner, outer = rules.select(F.col("tokens").alias("inner"), F.explode("tokens").alias("t")), rules.select("tokens", F.explode("tokens").alias("t"))
+    # a rule that a shorter one implies adds nothing; the shorter one's first token is among its own
+    inner, outer = rules.select(F.col("tokens").alias("inner"), F.element_at("tokens", 1).alias("t")), rules.select("tokens", F.explode("tokens").alias("t"))
     implied = outer.join(inner, "t").filter((F.size("inner") < F.size("tokens")) & (F.size(F.array_except("inner", "tokens")) == 0)).select("tokens").distinct()
     single = model.freqItemsets.filter(F.size("items") == 1).select(F.element_at("items", 1).alias("t"), "freq")
     homes = outer.join(single, "t").groupBy("tokens").agg(F.min_by("t", F.struct("freq", "t")).alias("home"))
