@@ -21,16 +21,26 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's shared checkpoint folder and cut its lineage.
 
     The folder is the one the session names in spark.checkpoint.dir. Only where that is unset
-    (a local test) a temporary one is taken.
+    and the master is local a temporary one is taken; a cluster could not share it.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="knotwork-"))
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names made from ``names`` that ``df`` doesn't have, whatever their case."""
+    taken, mark = {c.lower() for c in df.columns}, "__kw_"
+    while any(c.startswith(mark) for c in taken):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Arrow batches of at most ``rows`` rows, so that a batch of long texts stays small.
 

@@ -9,6 +9,9 @@ Equal fingerprints are only candidates. Candidates are compared chunk by chunk:
 every candidate goes to the row of its (fingerprint, chunk number), where the least and the
 greatest chunk are kept, map side first, so a group of any size needs two chunks of memory.
 Groups with a differing chunk are regrouped by their whole text.
+
+Rows are never numbered in one plan and met again by that number in another, as a scan or a
+shuffle may deal them differently the second time. They are met by their content.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, share_broadcast, small_batches, text_bytes
+from .common import cut, fresh, share_broadcast, small_batches, text_bytes
 
 #: Two primes below 2**31 and a base for each.
 PRIMES = (2147483647, 2147483629)
@@ -67,6 +70,7 @@ def fingerprint(data: memoryview | bytes) -> tuple[int, int]:
 
 
 def _fingerprints(batches: Iterator) -> Iterator:
+    """Fingerprint, length and digest of ``text``, beside all other columns."""
     import pyarrow as pa
 
     for b in batches:
@@ -78,39 +82,40 @@ def _fingerprints(batches: Iterator) -> Iterator:
             high.append(x)
             low.append(y)
             sha.append(hashlib.sha256(data).hexdigest())
+        others = [c for c in b.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays(
-            [b.column("rid"), b.column("id"), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(np.diff(at)), pa.array(sha, pa.string())],
-            names=["rid", "id", "h1", "h2", "n_bytes", "text_sha256"],
+            [*(b.column(c) for c in others), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(np.diff(at)), pa.array(sha, pa.string())],
+            names=[*others, "h1", "h2", "n_bytes", "text_sha256"],
         )
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: (rid, id, keep_id, group_size, kept, text_sha256).
+    """One row per input row: (id, keep_id, group_size, kept, text_sha256).
 
     Texts are equal when their characters are the same, without any change; a null text counts
     as the empty text. Of equal texts the row with the largest id stays; of rows that repeat
-    both text and id one stays; a null id is below any other. ``rid`` is the row's number in
-    the scan. An empty table gives no rows. Other columns, whatever their names, are not read.
+    both text and id one stays; a null id is below any other. An empty table gives no rows.
+    Other columns, whatever their names, are not read.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    prints = cut(rows.mapInArrow(_fingerprints, f"rid long, id {docs.schema[id_col].dataType.simpleString()}, h1 long, h2 long, n_bytes long, text_sha256 string"))
+    small_batches(docs.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    kind = f"id {docs.schema[id_col].dataType.simpleString()}, tag long, h1 long, h2 long, n_bytes long, text_sha256 string"
+    # the number tells rows of one id and text apart; it is fixed by the cut and used with these rows only
+    prints = cut(rows.mapInArrow(_fingerprints, kind).withColumn("rid", F.monotonically_increasing_id()))
     key = ["h1", "h2", "n_bytes"]
-    # cut, so that rows of a large group meet it in a join whose two sides are dealt apart and can be split
     groups = _groups(prints, key)
-    shared = cut(prints.join(groups.select(*key), key, "left_semi").select("rid", *key))
-    differing = _differing(rows, shared, key)
-    if differing.isEmpty():
-        split = prints.withColumn("part", F.lit(""))
-    else:  # fingerprints that different texts share: the text itself tells them apart
-        whole = rows.join(shared.join(differing, key, "left_semi"), "rid").select("rid", F.col("text").alias("part"))
-        split = prints.join(whole, "rid", "left").withColumn("part", F.coalesce("part", F.lit("")))
-        key = [*key, "part"]
-        groups = _groups(split, key)
-    found = split.join(groups, key, "left")
+    shared = cut(prints.join(groups.select(*key), key, "left_semi").select("tag", *key).distinct())
+    differing = cut(_differing(rows, shared, key))
+    found = prints.join(groups, key, "left")
+    if not differing.isEmpty():  # fingerprints that different texts share: the text itself tells them apart
+        whole = rows.withColumn("copy", F.col("text")).mapInArrow(_fingerprints, kind.replace("tag long", "tag long, copy string"))
+        alike = whole.join(F.broadcast(differing) if differing.count() <= 100_000 else differing, key, "left_semi")
+        alike = cut(alike.withColumn("rid", F.monotonically_increasing_id()))
+        by_text = alike.groupBy(*key, "copy").agg(F.count("*").alias("group_size"), F.max(F.struct("id", "rid")).alias("last"))
+        of_text = alike.join(by_text, [*key, "copy"]).select(*found.columns)
+        found = found.join(differing, key, "left_anti").unionByName(of_text)
     return found.select(
-        "rid",
         "id",
         F.when(F.col("last").isNull(), F.col("id")).otherwise(F.col("last.id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -120,19 +125,36 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _groups(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Groups of more than one row, with a broadcast hint if they are few."""
+    """Groups of more than one row, cut so that a join's two sides are dealt apart and can be split; with a broadcast hint if they are few."""
     groups = cut(rows.groupBy(*key).agg(F.count("*").alias("group_size"), F.max(F.struct("id", "rid")).alias("last")).filter("group_size > 1"))
     return share_broadcast(groups, groups.count())
 
 
 def _differing(rows: DataFrame, shared: DataFrame, key: list[str]) -> DataFrame:
-    """Fingerprints whose candidate texts differ in a chunk."""
-    text = rows.join(share_broadcast(shared, shared.count()), "rid").select(*key, F.coalesce("text", F.lit("")).alias("text"))
+    """Fingerprints whose candidate texts differ in a chunk.
+
+    ``shared`` has the hash (tag) of each candidate text. Another text with the same hash is
+    compared too, which can only call for the comparison of whole texts.
+    """
+    text = rows.join(share_broadcast(shared, shared.count()), "tag").select(*key, "text")
     pieces = text.select(*key, F.posexplode(F.transform(F.sequence(F.lit(0), F.expr(f"length(text) div {PIECE}")), lambda i: F.substring("text", i * PIECE + 1, F.lit(PIECE)))).alias("at", "piece"))
     return pieces.groupBy(*key, "at").agg(F.min("piece").alias("least"), F.max("piece").alias("most")).filter("least != most").select(*key).distinct()
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; see :func:`exact_groups`."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("rid").alias("__kw_rid"))
-    return docs.withColumn("__kw_rid", F.monotonically_increasing_id()).join(kept, "__kw_rid", "left_semi").drop("__kw_rid")
+    """The rows of ``docs`` that stay, with all their columns; see :func:`exact_groups`.
+
+    Of rows that repeat both text and id the one whose columns read least as JSON stays.
+    """
+    kept = exact_groups(docs, id_col, text_col).groupBy("id", "text_sha256").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).filter("kept")
+    kept = cut(kept.drop("kept"))
+    sha, i, n = fresh(docs, "sha", "i", "n")
+    marked = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    met = lambda some: marked.join(some.toDF(i, f"{sha}_", n), F.col(id_col).eqNullSafe(F.col(i)) & (F.col(sha) == F.col(f"{sha}_")), "left_semi")
+    once = met(kept.filter("n = 1")).drop(sha)
+    again = kept.filter("n > 1")
+    if again.isEmpty():
+        return once
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    least = met(again).groupBy(id_col, sha).agg(F.min_by(row, F.to_json(row)).alias(n)).select(f"{n}.*")
+    return once.unionByName(least)
