@@ -9,7 +9,8 @@ leaves the task, which keeps every component and never all pairs.
 A run longer than ``most`` isn't dealt. Its fingerprints are linked through midpoints instead:
 two fingerprints at distance d or less have a word within ceil(d / 2) bits of both, and all
 fingerprints around a word within floor(d / 2) bits are linked, so for an even d grouping by such
-words gives exactly the same components, in rows proportional to the fingerprints.
+words gives exactly the same components, in rows proportional to the fingerprints. An odd d has
+no such words; its runs of any length are dealt and compared whole.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, share_broadcast, small_batches, text_bytes
+from .common import cut, fresh, share_broadcast, small_batches, text_bytes
 from .components import components
 
 SHINGLE = 4
@@ -139,6 +140,7 @@ def _links(distance: int):
 
 def links(fps: DataFrame, distance: int = 4, most: int = 8192) -> DataFrame:
     """Links (a, b) that span the components of fingerprints at ``distance`` or less; see above."""
+    most = most if distance % 2 == 0 else 1 << 62
     keys = fps.select("fp", F.explode(block_keys(F.col("fp"), distance)).alias("key"))
     crowds = cut(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     n = crowds.count()
@@ -152,8 +154,6 @@ def links(fps: DataFrame, distance: int = 4, most: int = 8192) -> DataFrame:
 
 
 def _through_midpoints(fps: DataFrame, distance: int) -> DataFrame:
-    if distance % 2:
-        raise ValueError("midpoints need an even distance")
     masks = [sum(1 << i for i in chosen) for k in range(distance // 2 + 1) for chosen in combinations(range(64), k)]
     masks = np.array(masks, np.uint64).view(np.int64)
 
@@ -183,8 +183,9 @@ def near_duplicates(docs: DataFrame, distance: int = 4, id_col: str = "doc_id",
     prints = cut(rows.mapInArrow(_fingerprints, f"id {docs.schema[id_col].dataType.simpleString()}, fp long"))
     fps = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(fps.select("fp"), distance, most)).withColumnRenamed("v", "fp")
-    placed = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    placed = cut(fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    # cut, so that the join deals both sides anew and can split a large group
+    named = cut(placed.groupBy("root").agg(F.min("least").alias("component_id")))
     by_fp = cut(placed.join(named, "root").select("fp", "component_id"))
     return prints.join(by_fp, "fp").select("id", "fp", "component_id")
 
@@ -195,5 +196,5 @@ def drop_near_duplicates(docs: DataFrame, distance: int = 4, id_col: str = "doc_
     Rows with a null id stay only if no row of their component has an id.
     """
     found = near_duplicates(docs, distance, id_col, text_col)
-    kept = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__kw_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kw_id")), "left_semi")
+    kept = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct().toDF(*fresh(docs, "id"))
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(kept.columns[0])), "left_semi")
