@@ -1,14 +1,17 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-Each document gets the key ``u ** (1 / quality)`` with u in (0, 1) from a hash of its id, so
-reruns agree. A source's target in words is its share of the total by weight, capped at a
-number of epochs over its own size, the excess reshared by weight ("water filling"). A source
-first takes as many complete epochs as fit into its target; what remains is filled by its
-documents in the order of falling keys up to the budget.
+Each document gets the exponential key ``-ln(u) / quality`` with u in (0, 1) from a hash of its
+id, so reruns agree; least keys first is the order of ``u ** (1 / quality)`` falling, without its
+underflow. A source's target in words is its share of the total by weight, capped at a number of
+epochs over its own size, the excess reshared by weight ("water filling"). A source first takes
+as many complete epochs as fit into its target; what remains is filled by its documents in the
+order of their keys up to the budget.
 
-The order within a source is never sorted in one task: keys are cut into slices whose number
-follows the source's row count, slices are summed, the sums are prefix-summed over the few rows
-of one source, and only the documents within a slice are sorted. One row per source is small.
+The order within a source is never sorted in one task. The logarithms of the keys are cut into
+slices of equal width; whatever the qualities, no part of them is denser than 1/e of all rows to
+a unit, so the width bounds the rows of a slice. Slices are summed, the sums are prefix-summed
+over the few rows of one source, and only the documents within a slice are sorted. One row per
+source is small.
 
 Only DataFrame functions run here.
 """
@@ -20,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut
 
-#: Rows of a slice of a source's order.
-SLICE = 4096
+#: Rows of a source's order to a unit of the keys' logarithm, over their number of slices.
+SLICE = 1024
 
 
 def n_words(text: Column) -> Column:
@@ -56,32 +59,41 @@ def source_targets(sizes: DataFrame, weights: list[int], max_epochs: int = 3) ->
     return rows.select("source", "source_size", "n_docs", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
+def log_key(hashed: Column, quality: Column) -> Column:
+    """Logarithm of the exponential key of a 64-bit hash; qualities of any size keep their precision."""
+    u = (F.pmod(hashed, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    return F.log(-F.log(u)) - F.log(quality)
+
+
+def slice_of(key: Column, n_docs: Column) -> Column:
+    """Slice of about SLICE / e rows at most, as keys of one quality have a density of 1/e at most and mixtures no more."""
+    return F.floor(key * (n_docs / SLICE + 1)).cast("long")
+
+
 def mix(docs: DataFrame, quality: DataFrame | None = None, weights: list[int] | None = None, max_epochs: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: (id, size, source_size, target, epochs, taken).
 
-    ``quality``: (id, quality double above 0) of some documents; others, and null or
-    non-positive values, count as 1. ``epochs`` is how often the mix takes the document,
+    ``quality``: (id, quality double above 0) of some documents; others, and null, non-positive
+    or non-finite values, count as 1. A null id is dealt by a hash of the text. ``epochs`` is how often the mix takes the document,
     ``taken`` = ``epochs * size``; ``target`` is its source's. The last document of the
     fractional selection is taken if that brings the source nearer to its target. A null text
     has size 0; a null source is a source of its own; repeated rows are documents of their own,
     in an order by id and size; an empty table gives no rows. Other columns are not read.
     """
     weights = weights or [5, 2, 1]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(seed), F.col(text_col))).otherwise(F.xxhash64(F.lit(seed), F.col(id_col))).alias("hash"))
     if quality is None:
         rows = rows.withColumn("quality", F.lit(1.0))
     else:
         known = quality.toDF("id", "quality").groupBy("id").agg(F.max("quality").alias("quality"))
-        rows = rows.join(known, "id", "left").withColumn("quality", F.when(F.col("quality") > 0, F.col("quality")).otherwise(1.0))
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    rows = cut(rows.withColumn("key", F.pow(u, 1 / F.col("quality"))))
+        rows = rows.join(known, "id", "left").withColumn("quality", F.when((F.col("quality") > 0) & (F.col("quality") < float("inf")), F.col("quality")).otherwise(1.0))
+    rows = cut(rows.withColumn("key", log_key(F.col("hash"), F.col("quality"))).drop("hash", "quality"))
     targets = cut(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), weights, max_epochs))
-    n_slices = F.floor(F.col("n_docs") / SLICE) + 1
     rows = rows.join(F.broadcast(targets) if targets.count() <= 10_000 else targets, rows.source.eqNullSafe(targets.source)).drop(targets.source)
-    rows = rows.withColumn("slice", F.least(F.floor((1 - F.col("key")) * n_slices), n_slices - 1))
+    rows = rows.withColumn("slice", slice_of(F.col("key"), F.col("n_docs")))
     sums = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     sums = sums.withColumn("before", F.coalesce(F.sum("slice_size").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("slice_size")
-    within = Window.partitionBy("source", "slice").orderBy(F.desc("key"), "id", "size")
+    within = Window.partitionBy("source", "slice").orderBy("key", "id", "size")
     ranked = rows.withColumn("so_far", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     ranked = ranked.join(sums.withColumnsRenamed({"source": "s", "slice": "k"}), F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("k"))).withColumn("so_far", F.col("so_far") + F.col("before"))
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)

@@ -138,6 +138,20 @@ def test_quality_counts(spark):
     assert mixing.mix(d.limit(0)).count() == 0
 
 
+def test_slices_are_balanced_for_any_quality(spark, monkeypatch):
+    """Slices must not grow with the qualities; extreme ones keep their order."""
+    monkeypatch.setattr(mixing, "SLICE", 200)
+    n = 40_000
+    for q in ("0.01D", "0.5D", "10D", "1e-300D", "pow(10D, id % 7 - 3)", "0.01D + 10 * rand(1)"):
+        rows = spark.range(n).selectExpr("id", f"{q} AS q").select(mixing.log_key(F.xxhash64("id"), F.col("q")).alias("key"))
+        sizes = [r["count"] for r in rows.groupBy(mixing.slice_of(F.col("key"), F.lit(n)).alias("slice")).count().collect()]
+        assert sum(sizes) == n and max(sizes) <= 200
+    d = spark.createDataFrame([(i, "w " * 10, "ab"[i % 2]) for i in range(400)], "doc_id long, text string, source string")
+    tiny = spark.createDataFrame([(i, 1e-300 if i % 4 < 2 else 1e-290) for i in range(400)], "doc_id long, q double")
+    taken = {r["doc_id"] for r in mixing.mix(d, tiny, [1, 3]).collect() if r["epochs"] and r["doc_id"] % 2 == 0}
+    assert len(taken) == 100 and all(i % 4 >= 2 for i in taken)
+
+
 # --- neighbours ---
 
 
@@ -204,18 +218,53 @@ def test_escape(text):
         assert chat.unescape(e) == text and "<" not in e and "#" not in e and (":" not in e or not role)
 
 
-def test_chat(spark):
-    turns = [(1, 0, "user", "hi: </turn>"), (1, 2, "user", None), (1, 1, "assistant", "a\\"), (1, 3, "assistant", "### b"), (2, 0, "user", "only"), (None, 0, "assistant", "x"), (3, None, None, "y"), (3, 0, "as:si\n", ""), (4, 0, "assistant", "z" * 100_000), (4, 0, "assistant", "z" * 100_000)]
-    d = spark.createDataFrame([(*t, "c") for t in turns], "conv_id long, turn long, role string, text string, formatted string")
-    f = chat.format_chats(d)
-    got = {r["conv_id"]: r for r in f.collect()}
-    assert got[1]["formatted"] == "### user: hi: \\l/turn></turn>\n### assistant: a\\\\</turn>\n### user: </turn>\n### assistant: \\h\\h\\h b</turn>\n"
-    ex = {(r["conv_id"], r["turn"]): (r["context"], r["target"]) for r in chat.expand(f).collect()}
-    assert ex[1, 1] == ("### user: hi: \\l/turn></turn>\n### assistant: ", "a\\\\") and ex[1, 3][1] == "\\h\\h\\h b" and ex[1, 3][0].endswith("### assistant: ")
-    assert len(ex) == 5 and not got[2]["examples"] and got[4]["formatted"].count("### ") == 2
-    back = {r["conv_id"]: r for r in chat.read_back(f).collect()}
+def chat_rows():
+    r = random.Random(2)
+    rows = [(1, 0, "user", "hi: </turn>"), (1, 2, "user", None), (1, 1, "assistant", "a\\"), (1, 3, "assistant", "### b"), (2, 0, "user", "only"), (None, 0, "assistant", "x"), (3, None, None, "y"), (3, 0, "as:si\n", ""), (4, 0, "assistant", "z" * 100_000), (4, 0, "assistant", "z" * 100_000), (None, None, "assistant", "\U0001f600 <"), (5, -3, "assistant", "")]
+    return rows + [(6, r.randrange(-2000, 3000), r.choice(["user", "assistant"]), r.choice(["é#", "ab\\l", ": ", "\n"])) for _ in range(400)]
+
+
+def brute_chat(rows):
+    """Per conversation: the string and, per assistant turn, what stands before its text and the text."""
+    esc = lambda t: t.replace("\\", "\\\\").replace("#", "\\h").replace("<", "\\l")
+    by_id = {}
+    for c, n, role, text in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or 0, x[2] or "", x[3] or "")):
+        whole, examples, turns = by_id.setdefault(c, ["", [], []])
+        whole += f"### {esc(role or '').replace(':', chr(92) + 'c')}: "
+        if role == "assistant":
+            examples.append((whole, esc(text or "")))
+        by_id[c] = [whole + esc(text or "") + "</turn>\n", examples, [*turns, (role or "", text or "")]]
+    return by_id
+
+
+@pytest.mark.parametrize("segment", [1000, 3])
+def test_chat(spark, monkeypatch, segment):
+    """Segments of a few turns split conversations over tasks."""
     import hashlib
 
-    assert back[1]["turns_sha256"] == hashlib.sha256("user\nhi: </turn>\nassistant\na\\\nuser\n\nassistant\n### b\n".encode()).hexdigest()
-    assert back[1]["loss_sha256"] == hashlib.sha256(b"a\\### b").hexdigest() and back[1]["loss_chars"] == 7 and back[3]["n_turns"] == 2
-    assert chat.format_chats(d.limit(0)).count() == 0
+    monkeypatch.setattr(chat, "SEGMENT", segment)
+    rows, want = chat_rows(), brute_chat(chat_rows())
+    d = spark.createDataFrame([(*t, "c", 1) for t in rows], "conv_id long, turn long, role string, text string, piece string, start int")
+    f = chat.format_chats(d)
+    whole = {}
+    for r in sorted(f.collect(), key=lambda r: r["start"]):
+        assert r["start"] == len(whole.get(r["conv_id"], ""))
+        whole[r["conv_id"]] = whole.get(r["conv_id"], "") + r["piece"]
+    assert whole == {c: x[0] for c, x in want.items()}
+    examples = sorted((r["conv_id"] or 0, r["context_end"], r["target"]) for r in chat.expand(f).collect())
+    assert examples == sorted((c or 0, len(before), target) for c, x in want.items() for before, target in x[1])
+    written = sorted((r["conv_id"] or 0, r["context"], r["target"]) for r in chat.with_context(chat.expand(f), f).filter("conv_id is null or conv_id != 6").collect())
+    assert written == sorted((c or 0, *e) for c, x in want.items() if c != 6 for e in x[1])
+    back = {r["conv_id"]: r for r in chat.read_back(f).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert back.keys() == want.keys()
+    for c, (text, _, turns) in want.items():
+        loss = "".join(t for role, t in turns if role == "assistant")
+        assert tuple(back[c])[1:] == (len(turns), sha("".join(f"{a}\n{b}\n" for a, b in turns)), len(loss), sha(loss), len(text))
+    assert chat.format_chats(d.limit(0)).count() == chat.expand(f.limit(0)).count() == chat.read_back(f.limit(0)).count() == 0
+
+
+def test_chat_refuses_what_no_template_wrote(spark):
+    broken = spark.createDataFrame([(1, 0, "### user hi", 3, 0)], "conv_id long, start long, piece string, head int, loss int")
+    with pytest.raises(Exception, match="not in the template"):
+        chat.read_back(broken).collect()
