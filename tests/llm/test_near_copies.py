@@ -52,3 +52,32 @@ def test_stage_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert kept(spark, rows) == brute(rows)
+
+
+def test_long_and_repeated_texts(spark):
+    """Sets with more elements than a sketch has bits, and copies of one text."""
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    base = r.choices(words, k=3000)
+    rows = []
+    for changed in (0, 20, 60, 64, 70, 200, 1500):
+        at = r.sample(range(3000), changed)
+        rows.append(" ".join("x" if i in at else w for i, w in enumerate(base)))
+    rows += [" ".join(base[:1500] + r.choices(words, k=1500)), " ".join(base[:2450]), " ".join(base[:1000]), " ".join(base[:1200])]
+    rows += [rows[3]] * 5 + ["a b", "a b"]
+    rows = list(enumerate(rows))
+    assert kept(spark, rows) == brute(rows)
+
+
+def test_wide_sketches_fold():
+    import numpy as np
+
+    from knotwork.llm import near_copies as N
+
+    r = np.random.default_rng(1)
+    for n in (1025, 2048, 2049, 9000):
+        items = np.unique(r.integers(0, 1 << 62, n).astype(np.uint64))
+        wide = N.wide_sketch(items)
+        assert len(wide) * 8 >= n and len(wide) * 4 < n * 2
+        assert N.folded(np.frombuffer(wide, np.uint64), N.SKETCH // 8).tobytes() == N.sketch(items)
+    assert N.wide_sketch(items[:1024]) == b""
