@@ -95,7 +95,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Removed lines as "start:end" in characters of the original text, and the text that is left."""
+    """Removed passages as "start:end" in characters of the original text, and the text that is left."""
     from .substring_dedup import drop_repeated_units
 
     found = drop_repeated_units(table(spark, sf_dir, "documents"))
@@ -148,21 +148,35 @@ ORACLES = {
         FROM e GROUP BY conv_id
     """,
     "op9_substring_dedup": r"""
-        WITH u AS (
-            SELECT doc_id, coalesce(text, '') AS text, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents
-        ), v AS (
-            SELECT doc_id, i, string_split(text, chr(10)) AS parts, parts[i + 1] AS unit,
-                   trim(regexp_replace(translate(parts[i + 1], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS plain
+        WITH p AS (
+            SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS i
+            FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\n.!?,;:]+|[.!?,;:]+|\n') AS parts FROM documents)
+        ), q AS (
+            SELECT doc_id, i, part, coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+                   CASE WHEN regexp_matches(part, '^[^\n.!?,;:]') THEN trim(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) ELSE '' END AS plain
+            FROM p
+        ), u AS (
+            SELECT doc_id, i, plain, len(string_split(plain, ' ')) AS words, lag(plain) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM q WHERE plain != ''
+        ), f AS (
+            SELECT *, before IS NOT NULL AND min(doc_id) OVER (PARTITION BY before, plain) < doc_id AS linked,
+                   words >= 40 AND min(doc_id) OVER (PARTITION BY plain) < doc_id AS repeated
             FROM u
-        ), w AS (
-            SELECT doc_id, i, unit, i + coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-                   len(string_split(plain, ' ')) >= 5 AND row_number() OVER (PARTITION BY plain ORDER BY doc_id, i) > 1 AS gone
-            FROM v
+        ), g AS (
+            SELECT *, count(*) FILTER (NOT linked) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f
+        ), r AS (
+            SELECT doc_id, run, min(i) AS lo, max(i) AS hi FROM g GROUP BY doc_id, run HAVING (count(*) > 1 OR bool_or(repeated)) AND sum(words) >= 40
+        ), m AS (
+            SELECT q.doc_id, q.i, q.part, q.start, r.run FROM q LEFT JOIN r ON q.doc_id = r.doc_id AND q.i >= r.lo AND (q.i <= r.hi OR q.i = r.hi + 1 AND regexp_matches(q.part, '^[.!?,;:]'))
+        ), s AS (
+            SELECT doc_id, count(*) AS n, string_agg(lo || ':' || hi, ',' ORDER BY lo) AS spans
+            FROM (SELECT doc_id, cast(min(start) AS BIGINT) AS lo, cast(max(start + length(part)) AS BIGINT) AS hi FROM m WHERE run IS NOT NULL GROUP BY doc_id, run) GROUP BY doc_id
+        ), t AS (
+            SELECT doc_id, coalesce(string_agg(part, '' ORDER BY i) FILTER (run IS NULL), '') AS text FROM m GROUP BY doc_id
+        ), c AS (
+            SELECT doc_id, count(*) AS n FROM u GROUP BY doc_id
         )
-        SELECT doc_id, cast(count(*) AS INTEGER) AS n_units, cast(count(*) FILTER (gone) AS INTEGER) AS n_removed,
-               coalesce(string_agg(cast(start AS BIGINT) || ':' || cast(start + length(unit) AS BIGINT), ',' ORDER BY i) FILTER (gone), '') AS removed,
-               coalesce(string_agg(unit, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
-        FROM w GROUP BY doc_id
+        SELECT d.doc_id, cast(coalesce(c.n, 0) AS INTEGER) AS n_units, cast(coalesce(s.n, 0) AS INTEGER) AS n_removed, coalesce(s.spans, '') AS removed, coalesce(t.text, '') AS text
+        FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id) LEFT JOIN t USING (doc_id)
     """,
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -58,7 +58,7 @@ def brute_exact(rows):
 def test_exact_groups(spark):
     rows = texts()
     found = exact_dedup.exact_groups(docs(spark, rows))
-    assert sorted(tuple(r)[1:] for r in found.collect()) == brute_exact(rows)
+    assert sorted(map(tuple, found.collect())) == brute_exact(rows)
     kept = exact_dedup.exact_dedup(docs(spark, rows))
     assert kept.columns == ["doc_id", "text", "rid", "at"] and kept.count() == len({t or "" for _, t in rows})
 
@@ -70,16 +70,38 @@ def test_exact_cases(spark):
     assert exact_dedup.exact_dedup(docs(spark, [(None, "b"), (None, "b")])).count() == 1
 
 
+def poor_fingerprints(right):
+    def run(batches):
+        import pyarrow as pa
+
+        for b in right(batches):
+            for name in ("h1", "h2"):
+                b = b.set_column(b.schema.get_field_index(name), name, pa.array([7] * b.num_rows, pa.int64()))
+            yield b
+
+    return run
+
+
 def test_equal_fingerprints_are_compared(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "_differing", exact_dedup._differing)
-    rows = [(1, "ab"), (2, "cd"), (3, "ab"), (4, "cd"), (5, "zz")]
-    d = docs(spark, rows)
-    plain = d.select("doc_id", "text")
-    flat = plain.withColumn("h", plain.doc_id * 0)
-    bad = exact_dedup._differing(flat.selectExpr("doc_id rid", "text"), flat.filter("doc_id < 5").selectExpr("doc_id rid", "h"), ["h"])
-    assert bad.count() == 1
-    good = exact_dedup._differing(flat.selectExpr("doc_id rid", "text"), flat.filter("doc_id in (1, 3)").selectExpr("doc_id rid", "h"), ["h"])
-    assert good.count() == 0
+    """Texts of one length share a fingerprint here, so that only the comparison tells them apart."""
+    rows = [(1, "ab"), (2, "cd"), (3, "ab"), (4, "cd"), (5, "zz"), (6, "abc"), (7, "abc"), (8, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    key = ["h1", "h2", "n_bytes"]
+    rows_of = d.selectExpr("xxhash64(coalesce(text, '')) tag", "coalesce(text, '') text")
+    shared = rows_of.filter("text != ''").selectExpr("tag", "7 h1", "7 h2", "length(text) n_bytes").distinct()
+    assert [tuple(r) for r in exact_dedup._differing(rows_of, shared, key).collect()] == [(7, 7, 2)]
+    monkeypatch.setattr(exact_dedup, "_fingerprints", poor_fingerprints(exact_dedup._fingerprints))
+    assert sorted(map(tuple, exact_dedup.exact_groups(d).collect())) == brute_exact(rows)
+
+
+def test_exact_dedup_of_shuffled_rows(spark):
+    """Input that a shuffle deals, with a wide column that only the result reads."""
+    d = spark.range(20_000).selectExpr("id doc_id", "concat('text ', id % 15000) text", "repeat(cast(id as string), 50) wide", "1 __kw_sha")
+    kept = exact_dedup.exact_dedup(d.repartition(d.doc_id)).collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(5_000, 20_000))
+    assert all(r["wide"] == str(r["doc_id"]) * 50 and r["text"] == f"text {r['doc_id'] % 15000}" for r in kept)
+    again = spark.createDataFrame([(1, "a", 5), (1, "a", 3), (1, "b", 4), (None, "b", 1)], "doc_id long, text string, __kw_n int")
+    assert sorted(map(tuple, exact_dedup.exact_dedup(again).collect())) == [(1, "a", 3), (1, "b", 4)]
 
 
 # --- near ---
@@ -131,12 +153,20 @@ def test_near_duplicates(spark, most):
     assert near(simhash.near_duplicates(docs(spark, rows), most=most)) == brute_components(rows)
 
 
+@pytest.mark.parametrize("most", [8192, 1])
+def test_odd_distance(spark, most):
+    rows = texts(n=60)
+    assert near(simhash.near_duplicates(docs(spark, rows), 5, most=most)) == brute_components(rows, 5)
+
+
 def test_near_cases(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
     found = simhash.near_duplicates(docs(spark, [(3, None), (2, " "), (2, " "), (None, "")])).collect()
     assert {r["component_id"] for r in found} == {2} and len(found) == 4
     assert simhash.drop_near_duplicates(docs(spark, [(3, None), (2, " "), (7, "other words than these")])).columns == ["doc_id", "text", "rid", "at"]
     assert simhash.drop_near_duplicates(docs(spark, [(3, None), (2, " "), (7, "other words than these")])).count() == 2
+    clash = spark.createDataFrame([(3, "a", 1), (2, "a", 2)], "doc_id long, text string, __kw_id int")
+    assert [tuple(r) for r in simhash.drop_near_duplicates(clash).collect()] == [(2, "a", 2)]
 
 
 @settings(deadline=None)
@@ -168,45 +198,75 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-# --- lines ---
+# --- passages ---
 
 
-def brute_lines(rows, min_words=5):
-    seen, out = set(), []
-    for i, t in sorted(rows, key=lambda r: r[0]):
-        spans, kept, at = [], [], 0
-        for line in (t or "").split("\n"):
-            words = line.encode().lower().split()
-            key = b" ".join(words)
-            if len(words) >= min_words and key in seen:
-                spans.append((at, at + len(line)))
-            else:
-                kept.append(line)
-            seen.add(key)
-            at += len(line) + 1
-        out.append((i, (t or "").count("\n") + 1, spans, "\n".join(kept)))
+def brute_units(text, marks):
+    """(words, start, end with the marks behind) of each clause or, without marks, line."""
+    out, start = [], 0
+    while start < len(text):
+        end = start
+        while end < len(text) and text[end] not in marks + "\n":
+            end += 1
+        stop = end
+        while stop < len(text) and (text[stop] in marks if marks else text[stop] == "\n" and stop == end):
+            stop += 1
+        words = text[start:end].encode().lower().split()
+        if words:
+            out.append((words, start, stop))
+        start = max(stop, start + 1)
     return out
 
 
-def lines(found):
+def brute_passages(rows, marks, min_words):
+    """Every unit and every two units in a row are looked for in all documents that rank before."""
+    units = {i: brute_units(t or "", marks) for i, t in rows}
+    out = []
+    for i, t in rows:
+        t, own = t or "", [u[0] for u in units[i]]
+        before = [[u[0] for u in units[j]] for j in units if j < i]
+        runs, run = [], []
+        for n, words in enumerate(own):
+            if n and any(own[n - 1 : n + 1] == o[k : k + 2] for o in before for k in range(len(o))):
+                run.append(n)
+            else:
+                run = [n]
+                runs.append(run)
+        gone = [r for r in runs if sum(len(own[n]) for n in r) >= min_words and (len(r) > 1 or any(own[r[0]] in o for o in before))]
+        spans = [(units[i][r[0]][1], units[i][r[-1]][2]) for r in gone]
+        rest = "".join(c for n, c in enumerate(t) if not any(s <= n < e for s, e in spans))
+        out.append((i, len(own), spans, rest))
+    return sorted(out)
+
+
+def passages(found):
     return sorted((r["id"], r["n_units"], [(s["start"], s["end"]) for s in r["removed"]], r["text"]) for r in found.collect())
 
 
-def test_lines(spark):
+@pytest.mark.parametrize(("unit", "marks"), [("clause", ".!?,;:"), ("line", "")])
+def test_passages(spark, unit, marks):
+    """Passages that start in the middle of a line, stock phrases, blank and very long texts."""
     r = random.Random(5)
-    pool = [" ".join(r.choices("é a B cc d Ee f".split(), k=r.randint(1, 9))) for _ in range(40)]
-    rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(0, 12)))) for i in range(60)] + [(60, None), (61, ""), (62, pool[0].upper() + "  \n" + "long " * 20_000)]
-    assert lines(substring_dedup.drop_repeated_units(docs(spark, rows))) == brute_lines(rows)
-    for row in substring_dedup.drop_repeated_units(docs(spark, rows)).collect():
-        text = dict(rows)[row["id"]] or ""
-        assert all(len(text[s["start"] : s["end"]].split()) >= 5 for s in row["removed"])
-
-
-def test_line_cases(spark):
-    assert substring_dedup.drop_repeated_units(docs(spark, [])).count() == 0
-    same = substring_dedup.drop_repeated_units(docs(spark, [(1, "a b c d e"), (1, "a b c d e"), (2, "A b  c d e ")])).collect()
-    assert sorted(r["text"] for r in same) == ["", "a b c d e", "a b c d e"]
-    paragraphs = substring_dedup.drop_repeated_units(docs(spark, [(1, "a b c d e\nf\n\nx"), (2, "y\n \na b c d e f")]), unit="paragraph")
-    assert [r["text"] for r in paragraphs.orderBy("id").collect()] == ["a b c d e\nf\n\nx", "y"]
-    nulls = substring_dedup.drop_repeated_units(docs(spark, [(None, "a b c d e"), (1, "a b c d e")])).collect()
-    assert sorted((r["id"] is None, r["text"]) for r in nulls) == [(False, ""), (True, "a b c d e")]
+    pool = [" ".join(r.choices("é a B cc d Ee f".split(), k=r.randint(1, 9))) for _ in range(60)]
+    rows = [(i, "".join(r.choice(pool) + r.choice([". ", ", ", "\n", "?!\n\n", ";"]) for _ in range(r.randint(0, 14)))) for i in range(60)]
+    passage = "one two three, four five six. Seven eight nine ten: eleven twelve"
+    rows += [(60, None), (61, ""), (62, "before " + passage + "\nafter"), (63, "Other words; and " + passage.upper() + ". The end."), (64, ".,. \n \n;"), (65, "x, " + "long " * 20_000 + ". y"), (66, "z " * 3 + ", " + "long " * 20_000)]
+    found = passages(substring_dedup.drop_repeated_units(docs(spark, rows), unit, min_words=8))
+    assert found == brute_passages(rows, marks, 8)
+    assert any(f[2] for f in found)
+    if unit == "clause":
+        assert found[63][2] and not found[62][2] and found[66][2]
+
+
+def test_passage_cases(spark):
+    drop = substring_dedup.drop_repeated_units
+    assert drop(docs(spark, [])).count() == 0
+    long = " ".join(f"w{i}" for i in range(40))
+    same = drop(docs(spark, [(1, long), (1, long), (2, long.upper() + ". x")])).collect()
+    assert sorted(r["text"] for r in same) == [" x", long, long]
+    stays = drop(docs(spark, [(1, "a b, " * 50), (2, long[:-4] + ". c"), (3, long[:-4] + ". d")])).collect()
+    assert not any(r["removed"] for r in stays)
+    paragraphs = drop(docs(spark, [(1, "a b c d e\nf\n\nx"), (2, "y\n \na b c d e f")]), "paragraph", 5)
+    assert [r["text"] for r in paragraphs.orderBy("id").collect()] == ["a b c d e\nf\n\nx", "y\n \n"]
+    nulls = drop(docs(spark, [(None, long), (1, long)])).collect()
+    assert sorted((r["id"] is None, r["text"]) for r in nulls) == [(False, ""), (True, long)]
