@@ -129,15 +129,17 @@ class Scorer:
 
     def clauses(self, text: str) -> list[tuple[float, str]]:
         """(score, scope of its last insult) of each clause with an insult or threat."""
-        found, after = [], 0
+        found, first, after = [], 0, 0
+        marks, mark = CLAUSE.finditer(text), None
         for end, word in self.finder.iter(text) if len(self.finder) else ():
             start = end - len(word) + 1
             if start < after or start and text[start - 1].isalpha():
                 continue
-            cuts = [text.rfind(x, 0, start) for x in ".!?;\n"]
-            stop = CLAUSE.search(text, end + 1)
-            after = stop.start() if stop else len(text)
-            kinds = [self.class_of(w) for w in WORDS.findall(text, max(cuts) + 1, after)]
+            # one sweep over the clause marks: those behind are never looked at again
+            while after <= end:
+                first, mark = after + (mark is not None), next(marks, None)
+                after = mark.start() if mark else len(text)
+            kinds = [self.class_of(w) for w in WORDS.findall(text, first, after)]
             if not any(k == "threat" or isinstance(k, tuple) for k in kinds):
                 continue
             cost, scopes = self.grammar.shortest(kinds)
@@ -165,7 +167,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     the model is fitted on are bounded. Candidates are words, and word beginnings of four to
     seven letters, that at least ``min_docs`` toxic documents hold, of whose documents a share
     of ``min_share`` is toxic, and whose log likelihood ratio against the general share exceeds
-    chance over all candidates; the ``lexicon`` best go on. Of these, insults are those with a
+    chance over all candidates; the ``lexicon`` best go on, a bound on the fitted model. Of these, insults are those with a
     share of ``clear`` or more, and further ones chosen one by one, each the one that explains
     most toxic documents without an insult so far (among ``cover`` of them), until the next
     explains fewer than ``min_docs``. Null labels and ids are left out; an id that repeats
@@ -312,7 +314,11 @@ def toxicity(docs: DataFrame, model: dict, threshold: float = 0.7, id_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: dict, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score below ``threshold``."""
+    """The rows of ``docs``, with all their columns, that score below ``threshold``.
+
+    A null or empty text scores as one without a match, repeated rows stay or go together, an
+    empty table gives no rows; columns of any name are passed on.
+    """
     small_batches(docs.sparkSession)
     text = json.dumps(model)
 
