@@ -89,7 +89,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Model from rows with a language; null and empty ones are left out.
 
     Of each language at most ``per_language`` rows with the least hashes of their ids are used
-    and at most ``most`` in all, those that come first within their languages.
+    and at most ``most`` in all, those that come first within their languages. An id that
+    repeats counts with the least of its (language, text).
     """
     small_batches(docs.sparkSession)
     known = docs.filter(F.col(lang_col).isNotNull() & (F.col(lang_col) != "") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(5)).alias("h"))
@@ -99,6 +100,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     ranked = known.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("r") <= per_language)
     ids = ranked.orderBy("r", "lang").limit(most).select("id").distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and lang != ''").join(F.broadcast(ids), "id")
+    texts = texts.groupBy("id").agg(F.min(F.struct("lang", "text")).alias("x")).select("id", "x.lang", "x.text")
 
     def vectors(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -107,7 +109,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             rows = [(i, f.tobytes()) for i, x in enumerate(b.column("text").to_pylist()) if (f := features(x)) is not None]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang")], names=["id", "lang"]).take(pa.array([r[0] for r in rows], pa.int64())).append_column("v", pa.array([r[1] for r in rows], pa.binary()))
 
-    rows = sorted(texts.mapInArrow(vectors, f"id {docs.schema[id_col].dataType.simpleString()}, lang string, v binary").limit(2 * most).collect(), key=lambda r: (r["lang"], r["id"]))
+    rows = sorted(texts.mapInArrow(vectors, f"id {docs.schema[id_col].dataType.simpleString()}, lang string, v binary").collect(), key=lambda r: (r["lang"], r["id"]))
     names = sorted({r["lang"] for r in rows})
     model: dict = {"families": [], "pairs": {}}
     if not names:
