@@ -1,14 +1,17 @@
 """Approximate nearest neighbours along shifted space-filling curves.
 
-Vectors are projected at random to a few dimensions, shifted, and put in the order of a Hilbert
-curve; this is done for several projections. Spark range-partitions each order, which gives
-every vector a rank on every curve. A query's candidates are the vectors whose ranks differ from
-its own by at most a window on any curve. Each curve is cut into blocks of bounded size; a
-block's task holds that block and a bounded set of the queries whose windows reach it, and
-passes on each query's nearest only. These are merged and ranked by exact distance.
-
-The window is the larger of a number of rows and a share of all rows. On vectors without
-structure no curve keeps neighbours together, so that a constant recall needs a constant share.
+Vectors are projected to a few of their principal axes, turned at random, shifted, and put in the
+order of a Hilbert curve; this is done for several turns. Spark range-partitions each order,
+which gives every vector a rank on every curve. A query's candidates are the vectors whose ranks
+differ from its own by at most a fixed window on any curve. Each curve is cut into blocks; a
+block's task holds that block and the queries whose windows reach it, and passes on each query's
+nearest only. These are merged and ranked by exact distance, at a cost to a query that doesn't
+grow with the table.
+
+On vectors without structure no curve keeps neighbours together: a constant recall would need a
+constant share of the table. There ``complete`` adds an exact pass: the queries go in chunks of
+bounded size past all vectors, and only what is nearer than the k-th that the curves found is
+passed on. It costs a distance for each query and vector, and makes the result exact.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, small_batches
 
-#: Rows of a block, and queries that meet it in one task.
-BLOCK, QUERIES = 4096, 4096
+#: Rows of a block, and bytes of the queries that go past all vectors at once.
+BLOCK, CHUNK = 4096, 32 << 20
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -52,10 +55,12 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
 
 def _curves(sample: np.ndarray, curves: int, dims: int, seed: int) -> list[tuple]:
     """(projection, lowest, width) of each curve; its shift is part of the lowest."""
-    rng, n = np.random.default_rng(seed), sample.shape[1]
+    rng = np.random.default_rng(seed)
+    axes = np.linalg.svd(sample - sample.mean(0), full_matrices=False)[2][: 2 * dims]
     out = []
     for _ in range(curves):
-        p = np.linalg.qr(rng.normal(size=(n, n)))[0][:, : min(dims, n)]
+        turn = np.linalg.qr(rng.normal(size=(len(axes), len(axes))))[0][:, :dims]
+        p = axes.T @ turn
         y = sample @ p
         low, high = np.quantile(y, [0.001, 0.999], axis=0)
         width = np.maximum(high - low, 1e-12) / 0.75
@@ -78,36 +83,74 @@ def _keys(shared, bits: int):
     return run
 
 
+def _matrix(column) -> np.ndarray:
+    column = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
+
+
+def _closest(c: np.ndarray, ids: np.ndarray, own: np.ndarray, q: np.ndarray, barred: np.ndarray, k: int, reach: float):
+    """Ids and exact distances of the ``k`` nearest rows at ``reach`` or less; a product only rules out the rest."""
+    rough = own + q @ q - 2 * (c @ q)
+    rough[barred] = np.inf
+    slack = 1e-9 * (own.max() + q @ q)
+    edge = min(np.partition(rough, k - 1)[k - 1] if len(c) > k else np.inf, reach * reach) + slack
+    near = np.nonzero((rough <= edge) & np.isfinite(rough))[0]
+    far = np.sqrt(np.add.accumulate((c[near] - q) ** 2, axis=1)[:, -1])
+    best = np.lexsort((ids[near], far))[:k]
+    return ids[near][best], far[best]
+
+
+def _found(rows: list):
+    import pyarrow as pa
+
+    join = lambda i, kind: pa.array(np.concatenate([r[i] for r in rows]) if rows else np.empty(0), kind)
+    return pa.table({"query_id": join(0, pa.int64()), "id": join(1, pa.int64()), "score": join(2, pa.float64())})
+
+
 def _nearest(k: int, window: int):
     def run(left, right):
-        import pyarrow as pa
-
-        out = ([], [], [])
+        rows = []
         if left.num_rows and right.num_rows:
-            mat = lambda t, v: np.asarray(t.column(v).combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(t.num_rows, -1)
-            ids, ranks, c = left.column("id").to_numpy(), left.column("rank").to_numpy(), mat(left, "v")
-            qids, qranks, q = right.column("q_id").to_numpy(), right.column("q_rank").to_numpy(), mat(right, "q_v")
-            own = (c * c).sum(1)
-            for i in range(0, len(q), 256):
-                part = q[i : i + 256]
-                rough = own + (part * part).sum(1)[:, None] - 2 * part @ c.T
-                rough[(np.abs(qranks[i : i + 256, None] - ranks) > window) | (qids[i : i + 256, None] == ids)] = np.inf
-                edge = np.partition(rough, min(k, len(c)) - 1, axis=1)[:, min(k, len(c)) - 1]
-                scale = 1e-9 * (own.max() + (part * part).sum(1))
-                for j, row in enumerate(rough):
-                    near = np.nonzero((row <= edge[j] + scale[j]) & np.isfinite(row))[0]
-                    far = np.sqrt(np.add.accumulate((c[near] - part[j]) ** 2, axis=1)[:, -1])
-                    best = np.lexsort((ids[near], far))[:k]
-                    out[0].append(np.full(len(best), qids[i + j]))
-                    out[1].append(ids[near][best])
-                    out[2].append(far[best])
-        join = lambda x, kind: pa.array(np.concatenate(x) if x else np.empty(0), kind)
-        return pa.table({"query_id": join(out[0], pa.int64()), "id": join(out[1], pa.int64()), "score": join(out[2], pa.float64())})
+            ids, ranks, c = left.column("id").to_numpy(), left.column("rank").to_numpy(), _matrix(left.column("v"))
+            own, order = (c * c).sum(1), np.argsort(ranks)
+            ids, ranks, c, own = ids[order], ranks[order], c[order], own[order]
+            for qid, rank, q in zip(right.column("q_id").to_numpy(), right.column("q_rank").to_numpy(), _matrix(right.column("q_v")), strict=True):
+                lo, hi = np.searchsorted(ranks, [rank - window, rank + window + 1])
+                if lo < hi:
+                    found, far = _closest(c[lo:hi], ids[lo:hi], own[lo:hi], q, ids[lo:hi] == qid, k, np.inf)
+                    rows.append((np.full(len(found), qid), found, far))
+        return _found(rows)
+
+    return run
+
+
+def _scan(shared, k: int):
+    """For each batch of vectors what is as near to a query of the chunk as its reach."""
+
+    def run(batches: Iterator) -> Iterator:
+        qids, qs, reach = shared.value
+        for b in batches:
+            rows = []
+            if b.num_rows:
+                ids, c = b.column("id").to_numpy(), _matrix(b.column("v"))
+                own = (c * c).sum(1)
+                for i in range(0, len(qs), 256):
+                    rough = (qs[i : i + 256] ** 2).sum(1)[:, None] + own - 2 * qs[i : i + 256] @ c.T
+                    slack = 1e-9 * (own.max() + (qs[i : i + 256] ** 2).sum(1))
+                    for j in np.nonzero((rough <= (reach[i : i + 256] ** 2 + slack)[:, None]).any(axis=1))[0]:
+                        found, far = _closest(c, ids, own, qs[i + j], ids == qids[i + j], k, reach[i + j])
+                        rows.append((np.full(len(found), qids[i + j]), found, far))
+            yield from _found(rows).to_batches()
 
     return run
 
 
-def neighbours(vectors: DataFrame, is_query, k: int = 10, curves: int = 12, dims: int = 8, bits: int = 6, window_rows: int = 512, window_share: float = 0.05, sample: int = 10_000, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _merge(found: DataFrame, k: int) -> DataFrame:
+    best = found.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id")))
+    return best.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
+
+
+def neighbours(vectors: DataFrame, is_query, k: int = 10, curves: int = 6, dims: int = 8, bits: int = 6, window: int = 256, complete: bool = False, sample: int = 10_000, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` nearest found of each query: (query_id, rank, id, score).
 
     Queries are the rows that ``is_query`` (a condition on ``id``) names, candidates all rows but
@@ -115,45 +158,47 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, curves: int = 12, dims
     smaller id. Vectors that are null, empty, zero or hold a null, NaN or infinite component take
     no part, nor do those of another length than most (ties: the shortest), nor rows with a null
     id; of rows that repeat an id the one with the least vector counts. With fewer than ``k``
-    candidates all are returned; an empty table gives no rows. The window to either side is
-    ``window_share`` of all vectors and at least ``window_rows``. Projections are scaled on at
-    most ``sample`` rows, those with the least hashes; every row is ordered.
+    candidates all are returned; an empty table gives no rows. Candidates lie ``window`` ranks to
+    either side on any of the ``curves``; with ``complete`` an exact pass follows. Projections
+    are fitted on at most ``sample`` rows, those with the least hashes; every row is ordered.
     """
     spark = vectors.sparkSession
     small_batches(spark)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null and v is not null and size(v) > 0")
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v")).filter("id is not null and v is not null and size(v) > 0")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     rows = rows.filter(F.forall("v", finite) & F.exists("v", lambda x: x != 0))
     rows = rows.groupBy("id").agg(F.min("v").alias("v"))
     shape = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    empty = "query_id long, rank int, id long, score double"
     if shape is None:
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
     rows = cut(rows.filter(F.size("v") == shape["n"]))
-    # of equal vectors more than k + 1 can't be among anyone's nearest
-    some = rows.withColumn("copy", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter((F.col("copy") <= k + 1) | is_query).withColumn("copy", F.col("copy") <= k + 1)
-    some = cut(some)
-    total = some.count()
-    window = max(window_rows, math.ceil(window_share * total))
-    fit = np.array([r[0] for r in some.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()])
-    shared = spark.sparkContext.broadcast(_curves(fit, curves, dims, seed))
-    order = some.select("id", "v").mapInArrow(_keys(shared, bits), "curve int, key long, id long")
-    dealt = order.repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "id").withColumn("at", F.monotonically_increasing_id())
-    dealt = cut(dealt)
+    asked = rows.filter(is_query)
+    # of equal vectors more than k + 1 can't be among anyone's nearest; Spark limits them before it deals them
+    held = cut(rows.withColumn("copy", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("copy") <= k + 1).drop("copy"))
+    fit = np.array([r[0] for r in held.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()])
+    shared = spark.sparkContext.broadcast(_curves(fit, curves, min(dims, shape["n"]), seed))
+    # queries among the copies that aren't held have ranks too
+    order = held.union(asked).dropDuplicates(["id"]).mapInArrow(_keys(shared, bits), "curve int, key long, id long")
+    dealt = cut(order.repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "id").withColumn("at", F.monotonically_increasing_id()))
     parts = dealt.groupBy("curve", F.shiftright("at", 33).alias("part")).agg(F.min("at").alias("first"), F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("curve").orderBy("part")) - F.col("n")
     parts = parts.select("curve", "part", "first", before.alias("before"))
-    ranks = dealt.withColumn("part", F.shiftright("at", 33)).join(parts, ["curve", "part"]).select("curve", "id", (F.col("at") - F.col("first") + F.col("before")).alias("rank"))
-    placed = cut(ranks.join(some, "id"))
+    ranks = dealt.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(parts), ["curve", "part"]).select("curve", "id", (F.col("at") - F.col("first") + F.col("before")).alias("rank"))
     block = lambda r: F.floor(r / BLOCK)
-    asked = placed.filter(is_query).select("curve", "id", "rank", "v", F.explode(F.sequence(F.greatest(F.lit(0), block(F.col("rank") - window)), block(F.least(F.lit(total - 1), F.col("rank") + window)))).alias("block"))
-    # queries of one block are dealt over copies of it, about QUERIES to each
-    asking = some.filter(is_query).count() / max(1, total)
-    copies = math.ceil(min(1.0, 2 * asking) * (2 * window + BLOCK) / QUERIES) or 1
-    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(copies)))
-    held = placed.filter("copy").select("curve", "id", "rank", "v", block(F.col("rank")).alias("block"))
-    held = held.join(asked.select("curve", "block", "chunk").distinct(), ["curve", "block"])
-    key = ["curve", "block", "chunk"]
-    found = held.groupBy(*key).cogroup(asked.toDF(*[f"q_{c}" for c in asked.columns]).groupBy(*[f"q_{c}" for c in key])).applyInArrow(_nearest(k, window), "query_id long, id long, score double")
-    best = found.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id")))
-    return best.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
+    asking = ranks.join(asked, "id").select("curve", "id", "rank", "v", F.explode(F.sequence(F.greatest(F.lit(0), block(F.col("rank") - window)), block(F.col("rank") + window))).alias("block"))
+    asking = asking.toDF(*[f"q_{c}" for c in asking.columns])
+    blocks = ranks.join(held, "id").withColumn("block", block(F.col("rank")))
+    near = blocks.groupBy("curve", "block").cogroup(asking.groupBy("q_curve", "q_block")).applyInArrow(_nearest(k, window), "query_id long, id long, score double")
+    if not complete:
+        return _merge(near, k)
+    near = cut(_merge(near, k).drop("rank"))
+    reach = near.groupBy("query_id").agg(F.when(F.count("*") == k, F.max("score")).alias("reach"))
+    reach = cut(asked.join(reach, F.col("id") == F.col("query_id"), "left").select("id", "v", F.coalesce("reach", F.lit(float("inf"))).alias("reach")))
+    chunks = max(1, math.ceil(reach.count() * 8 * (shape["n"] + 2) / CHUNK))
+    for i in range(chunks):
+        part = reach.filter(F.pmod(F.xxhash64("id"), F.lit(chunks)) == i).collect()
+        if part:
+            sent = spark.sparkContext.broadcast((np.array([r["id"] for r in part]), np.array([r["v"] for r in part], np.float64), np.array([r["reach"] for r in part])))
+            near = near.union(cut(held.mapInArrow(_scan(sent, k), "query_id long, id long, score double")))
+    return _merge(near, k)

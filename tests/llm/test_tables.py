@@ -193,19 +193,40 @@ def nearest(spark, rows, **options):
 
 def test_window_over_all_is_exact(spark):
     rows = vectors(460)
-    assert nearest(spark, rows, curves=2) == brute_nearest(rows)
+    assert nearest(spark, rows, curves=2, window=512) == brute_nearest(rows)
     assert nearest(spark, rows[:6], curves=2) == brute_nearest(rows[:6]) and nearest(spark, rows[:1]) == nearest(spark, []) == {}
 
 
-def test_recall(spark, monkeypatch):
+def test_complete_is_exact(spark, monkeypatch):
+    """Windows of 1 % of vectors without structure, queries in several chunks."""
     monkeypatch.setattr(neighbours, "BLOCK", 300)
+    monkeypatch.setattr(neighbours, "CHUNK", 800)
     rows = vectors(4000)
-    got, want = nearest(spark, rows, window_rows=100), brute_nearest(rows)
-    hit = [len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want]
-    assert got.keys() == want.keys() and np.mean(hit) >= 0.9
+    assert nearest(spark, rows, window=20, curves=2, complete=True) == brute_nearest(rows)
+    few = [(i, v) for i, v in rows if i is not None and i % 700 == 0]
+    assert nearest(spark, few, window=1, curves=1, complete=True) == brute_nearest(few)
+
+
+def recall(got, want):
+    assert got.keys() == want.keys()
     for q in want:
         true = dict(want[q])
         assert all(d == true[i] for i, d in got[q] if i in true)
+    return np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want])
+
+
+def test_recall_at_64_dimensions(spark, monkeypatch):
+    """Vectors near a surface of four dimensions, windows of 5 % on either side, candidates of 6 curves."""
+    monkeypatch.setattr(neighbours, "BLOCK", 300)
+    r = np.random.default_rng(4)
+    flat = r.normal(size=(4000, 4)) @ r.normal(size=(4, 64)) + 0.01 * r.normal(size=(4000, 64))
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(flat)]
+    want = {}
+    x = np.array([v for _, v in rows], np.float64)
+    for q in range(0, 4000, 100):
+        far = np.sqrt(np.add.accumulate((x - x[q]) ** 2, axis=1)[:, -1])
+        want[q] = [(int(i), float(far[i])) for i in np.lexsort((np.arange(4000), far)) if i != q][:10]
+    assert recall(nearest(spark, rows, window=200), want) >= 0.9
 
 
 # --- chat ---
