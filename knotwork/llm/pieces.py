@@ -1,17 +1,18 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-A model is compiled into three machines that are composed with each text:
+A model is compiled into two machines, which are composed with each text as the search goes:
 
-* the normaliser writes the blank mark before the text and for every blank;
-* the lexicon reads characters and writes pieces, and where a character is no piece, the byte
-  pieces of its UTF-8 form;
+* the lexicon, a trie, reads characters and writes pieces, and where a character is no piece, the
+  byte pieces of its UTF-8 form;
 * the pair acceptor weighs neighbouring pieces. For a byte-pair model a pair weighs 0 if merging
-  by rank leaves it apart and infinity otherwise; for a unigram model a piece weighs its negated
-  score and pairs weigh nothing.
-
-The ids are the outputs of the shortest path in the tropical semiring. In a byte-pair model a
-string has exactly one path of finite weight, its encoding, and so has every prefix: the first
-path found is the shortest, and a position from which none goes on is never tried again.
+  the two pieces' characters by rank gives just these two, and infinity otherwise; for a unigram
+  model a piece weighs its negated score and pairs weigh nothing.
+
+The normaliser isn't a machine here: only models with the identity one are taken, and its blank
+marks are put in by replacing strings. The ids are the outputs of the shortest path in the
+tropical semiring. In a byte-pair model all weights are 0 or infinity, a string has exactly one
+path of finite weight, its encoding, and so has every prefix: the first path found is the
+shortest, and a position from which none goes on is never tried again.
 
 No piece crosses a place where a blank mark follows another character, or a character that
 occurs in no longer piece. Texts are cut there, which is exact, and the paths of recent cuts are
