@@ -54,7 +54,8 @@ STAGES = [
     ("sentencepiece", encode_pieces),
 ]
 
-#: Learned scores, 64-bit fingerprints and piece paths aren't SQL; the tests compare stages with brute force.
+#: Learned scores, near copies and piece paths aren't SQL. The tests compare the near-copy stage with brute force over
+#: all pairs and the exact stage with the set of texts; the others by the tests of their operators.
 ORACLE_SQL = None
 
 
