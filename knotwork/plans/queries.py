@@ -17,6 +17,7 @@ from knotwork.operators import sample as S
 from knotwork.operators import verdicts as V
 from knotwork.operators.profile import choose_columns, column_profile
 from knotwork.plans import lattice as L
+from knotwork.plans import lattice_sql as Q
 from knotwork.plans.discover import Options, Result, discover
 
 #: name -> (columns, SQL)
@@ -37,6 +38,22 @@ RELATIONS = {
         ON a.st = b.st AND a.pr = b.pr""",
     ),
     "ordercat": ("s p y b", "SELECT o_orderstatus AS s, o_orderpriority AS p, year(o_orderdate) AS y, o_custkey % 10 AS b FROM {orders}"),
+    "bazaar": (
+        "r n m f k",
+        """SELECT n_regionkey AS r, a.n, a.m, b.f, b.k
+        FROM (SELECT DISTINCT c_nationkey AS n, c_mktsegment AS m FROM {customer}) a
+        JOIN (SELECT DISTINCT s_nationkey AS n, s_suppkey % 3 AS f, CAST(floor(s_acctbal / 2500) AS INTEGER) AS k FROM {supplier}) b ON a.n = b.n
+        JOIN {nation} ON a.n = n_nationkey""",
+    ),
+    "bazaar6": (
+        "r n m q f k",
+        """SELECT n_regionkey AS r, a.n, a.m, c.q, b.f, b.k
+        FROM (SELECT DISTINCT c_nationkey AS n, c_mktsegment AS m FROM {customer}) a
+        JOIN (SELECT DISTINCT s_nationkey AS n, s_suppkey % 3 AS f, CAST(floor(s_acctbal / 2500) AS INTEGER) AS k FROM {supplier}) b ON a.n = b.n
+        JOIN (SELECT DISTINCT c_nationkey AS n, c_custkey % 3 AS q FROM {customer}) c ON a.n = c.n
+        JOIN {nation} ON a.n = n_nationkey""",
+    ),
+    "keyed": ("k n c d e", "SELECT s_suppkey AS k, s_name AS n, s_nationkey % 5 AS c, s_suppkey % 3 AS d, (s_nationkey % 5 + 2 * (s_suppkey % 3)) % 4 AS e FROM {supplier}"),
     "part": ("b t s", "SELECT p_brand AS b, p_type AS t, p_size AS s FROM {part}"),
     "docs": ("l s c", "SELECT lang AS l, source AS s, n_chars % 5 AS c FROM {documents}"),
     "conv": ("c t r", "SELECT conv_id AS c, turn AS t, role AS r FROM {conversations}"),
@@ -57,6 +74,10 @@ def columns(name: str) -> list[str]:
     return RELATIONS[name][0].split()
 
 
+def forms(name: str) -> Q.Forms:
+    return Q.Forms(duck(name), columns(name))
+
+
 def names(m: int, name: str) -> str:
     return ",".join(L.names_of(m, columns(name)))
 
@@ -211,8 +232,15 @@ def mvd_checks(name: str, sampled: bool = False):
 
 
 def minimal_mvds(name: str, mode: str = "reference", **options):
-    """All minimal dependencies. The SQL form holds for three and four columns, where right sides have one attribute."""
-    n = len(columns(name))
+    """All minimal dependencies. The SQL form below holds for three and four columns, where right
+    sides have one attribute; more columns take the form of ``lattice_sql``."""
+
+    def run(spark, sf_dir):
+        found = discover(load(spark, sf_dir, name), Options(mode=mode, **options)).mvd_list()
+        return spark.createDataFrame([(",".join(x), ",".join(y)) for x, y in found], "lhs string, rhs string")
+
+    if len(columns(name)) > 4:
+        return run, Q.minimal(forms(name), mode == "strict")
     low = [(x, y, z) for x, y, z in all_candidates(name)]
     drop = []
     for x, y, z in low:
@@ -221,18 +249,42 @@ def minimal_mvds(name: str, mode: str = "reference", **options):
             if mode == "strict":
                 drop.append((names(x, name), names(y, name), names(p, name), names(z, name)))
     values = ", ".join(str(d) for d in drop) or "('', '', '', '')"
-
-    def run(spark, sf_dir):
-        found = discover(load(spark, sf_dir, name), Options(mode=mode, **options)).mvd_list()
-        return spark.createDataFrame([(",".join(x), ",".join(y)) for x, y in found], "lhs string, rhs string")
-
-    assert n <= 4, "the SQL form is for four columns at most"
     return run, f"""
         WITH t AS ({duck(name)}), m AS ({truth_mvds(name)}), d(lhs, rhs, by_lhs, by_rhs) AS (VALUES {values})
         SELECT lhs, rhs FROM m WHERE holds AND NOT EXISTS (
             SELECT 1 FROM d JOIN m k ON k.lhs = d.by_lhs AND k.rhs = d.by_rhs AND k.holds WHERE d.lhs = m.lhs AND d.rhs = m.rhs)"""
 
 
+def fd_levels(name: str, threshold: float):
+    """Dependencies found when levels are left out once ``threshold`` of the left sides are superkeys."""
+
+    def run(spark, sf_dir):
+        fds = discover(load(spark, sf_dir, name), Options(superkey_threshold=threshold)).fd_set()
+        return spark.createDataFrame([(",".join(x), a) for x, a in fds], "lhs string, rhs string")
+
+    return run, Q.fds(forms(name), threshold)
+
+
+def kinds_known(name: str):
+    """What becomes of every candidate, with the dependencies known that discovery finds."""
+
+    def run(spark, sf_dir):
+        found = discover(load(spark, sf_dir, name), Options(superkey_threshold=2.0)).candidates
+        return found.select("kind", F.concat_ws(",", "lhs").alias("lhs"), F.concat_ws(",", "rhs").alias("rhs"), "holds")
+
+    return run, Q.kinds(forms(name))
+
+
+def counters(name: str):
+    """Counters of a run that checks all candidates in full."""
+
+    def run(spark, sf_dir):
+        s = discover(load(spark, sf_dir, name), Options(superkey_threshold=2.0, sampling=S.Sampling(enabled=False))).stats.row()
+        return spark.createDataFrame([(k, int(s[k])) for k in Q.COUNTERS], "counter string, value long")
+
+    return run, Q.counters(forms(name))
+
+
 def kinds_query(spark, sf_dir):
     """Candidates of five attributes when nothing is known yet."""
     rows = [(kind, x, y, z) for kind, x, y, z in L.candidates([x for k in range(1, 4) for x in L.level_sets(5, k)], L.Closures(5), ())]
@@ -283,6 +335,17 @@ def chosen_query(spark, sf_dir):
     return spark.createDataFrame([(i, c) for i, c in enumerate(choose_columns(df, 3), 1)], "place int, chosen string")
 
 
+CHOSEN = """
+    WITH g AS ({}),
+    f AS (SELECT c, count(v) AS n_distinct, coalesce(sum(n) FILTER (v IS NULL), 0) AS n_null, sum(n) AS n, count(*) AS groups, max(n) AS most FROM g GROUP BY c),
+    p AS (SELECT c, n_distinct, 100.0::DOUBLE * n_distinct / n AS u, most / (n::DOUBLE / groups) AS skew FROM f WHERE n_distinct + (n_null > 0)::INT > 1),
+    r AS (SELECT *, CASE WHEN u >= 95 THEN row_number() OVER (ORDER BY u DESC, c) END AS k FROM p),
+    s AS (SELECT *, ntile(3) OVER (ORDER BY n_distinct, c) AS stratum FROM r WHERE k IS NULL),
+    o AS (SELECT 0 AS turn, 0 AS stratum, c FROM r WHERE k = 1 UNION ALL SELECT row_number() OVER (PARTITION BY stratum ORDER BY skew DESC, c), stratum, c FROM s)
+    SELECT cast(row_number() OVER (ORDER BY turn, stratum) AS INTEGER) AS place, c AS chosen FROM o QUALIFY place <= 3
+""".format(" UNION ALL ".join(f"SELECT '{c}' AS c, cast({c} AS VARCHAR) AS v, count(*) AS n FROM supplier GROUP BY {c}" for c in ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")))
+
+
 def stats_query(spark, sf_dir):
     """Counters of a run over geo4, as rows."""
     s = discover(load(spark, sf_dir, "geo4"), Options(superkey_threshold=2.0)).stats
@@ -299,7 +362,7 @@ def _registered() -> dict[str, tuple[Callable, str | None]]:
     t = lambda name: f"WITH t AS ({duck(name)}) "
     found: dict[str, tuple[Callable, str | None]] = {
         "column_profile": (profile_query, PROFILE),
-        "choose_columns": (chosen_query, None),
+        "choose_columns": (chosen_query, CHOSEN),
         "encode_dictionary": (dictionary_query, DICTIONARY),
         "encoded_rows": (relation_query("encoded"), ENCODED),
         "packed_rows": (relation_query("packed"), PACKED),
@@ -317,11 +380,20 @@ def _registered() -> dict[str, tuple[Callable, str | None]]:
         "mvd_check_all": mvd_checks("fd2"),
         "mvd_sample_reject": mvd_checks("fd2", sampled=True),
         "fourth_nf_violations": violations("geo"),
+        "candidate_kinds_bazaar": kinds_known("bazaar"),
+        "candidate_kinds_keyed": kinds_known("keyed"),
+        "run_counters_bazaar": counters("bazaar"),
+        "run_counters_keyed": counters("keyed"),
+        "fd_levels_keyed": fd_levels("keyed", 2.0),
+        "fd_levels_skipped": fd_levels("keyed", 0.3),
     }
     for name in ("geo4", "fd2", "supplier", "nulls", "empty", "ordercat"):
         found[f"fd_discovery_{name}"] = fd_discovery(name)
     for name in ("flag", "lineflags", "nation", "geo", "fd2", "nulls", "empty", "part", "docs", "conv", "ordercat"):
         found[f"minimal_mvds_{name}"] = minimal_mvds(name)
+    for name in ("bazaar", "bazaar6", "keyed"):
+        found[f"minimal_mvds_{name}"] = minimal_mvds(name)
+    found["minimal_mvds_bazaar_strict"] = minimal_mvds("bazaar", "strict")
     found["minimal_mvds_pair"] = minimal_mvds("pair")
     found["minimal_mvds_strict"] = minimal_mvds("fd2", "strict")
     found["minimal_mvds_encoded"] = minimal_mvds("geo", representation="encoded")
