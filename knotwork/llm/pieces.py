@@ -1,15 +1,16 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-A model is compiled into two machines, which are composed with each text as the search goes:
+A model is compiled into machines that are composed with each text as the search goes:
 
+* the normaliser (``normaliser.py``) rewrites the spellings of the model's character map and its
+  blanks; the identity one is the machine that passes everything through;
 * the lexicon, a trie, reads characters and writes pieces, and where a character is no piece, the
   byte pieces of its UTF-8 form;
 * the pair acceptor weighs neighbouring pieces. For a byte-pair model a pair weighs 0 if merging
   the two pieces' characters by rank gives just these two, and infinity otherwise; for a unigram
   model a piece weighs its negated score and pairs weigh nothing.
 
-The normaliser isn't a machine here: only models with the identity one are taken, and its blank
-marks are put in by replacing strings. The ids are the outputs of the shortest path in the
+The ids are the outputs of the shortest path in the
 tropical semiring. In a byte-pair model all weights are 0 or infinity, a string has exactly one
 path of finite weight, its encoding, and so has every prefix: the first path found is the
 shortest, and a position from which none goes on is never tried again.
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
+from .normaliser import Normaliser, spellings
 
 BLANK = "▁"
 INF = float("inf")
@@ -46,8 +48,10 @@ def load(path: str) -> dict:
         data = f.read()
     proto = pb.ModelProto.FromString(data)
     p = SentencePieceProcessor(model_proto=data)
-    if proto.normalizer_spec.precompiled_charsmap or proto.normalizer_spec.remove_extra_whitespaces or not proto.normalizer_spec.escape_whitespaces:
-        raise ValueError("only models with the identity normaliser can be compiled")
+    if proto.trainer_spec.treat_whitespace_as_suffix or not proto.normalizer_spec.escape_whitespaces:
+        raise ValueError("only models that mark blanks in front of words can be compiled")
+    if any(x.type == x.USER_DEFINED for x in proto.pieces):
+        raise ValueError("models with user-defined symbols can't be compiled")
     kinds = proto.trainer_spec.ModelType
     if proto.trainer_spec.model_type not in (kinds.BPE, kinds.UNIGRAM):
         raise ValueError("only byte-pair and unigram models can be compiled")
@@ -58,6 +62,8 @@ def load(path: str) -> dict:
         "pieces": {p.id_to_piece(i): (i, p.get_score(i)) for i in n if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))},
         "bytes": {int(p.id_to_piece(i)[3:5], 16): i for i in n if p.is_byte(i)},
         "unknown": p.unk_id(),
+        "spellings": spellings(proto.normalizer_spec.precompiled_charsmap),
+        "squeeze": bool(proto.normalizer_spec.remove_extra_whitespaces),
     }
 
 
@@ -67,6 +73,9 @@ class Transducer(dict):
     def __init__(self, model: dict):
         super().__init__()
         self.kind, self.prefix, self.pieces, self.bytes, self.unknown = (model[k] for k in ("kind", "prefix", "pieces", "bytes", "unknown"))
+        rules, squeeze = model.get("spellings", {}), model.get("squeeze", False)
+        self.normalise = Normaliser(rules, squeeze) if rules or squeeze else None
+        self.leading = self.prefix or squeeze
         self.pairs: dict[int, bool] = {}
         self.names = {i: p for p, (i, _) in self.pieces.items()}
         self.trie: dict = {}
@@ -184,9 +193,21 @@ class Transducer(dict):
         return tuple(ids)
 
     def encode(self, text: str) -> array:
+        if text and self.normalise is not None:
+            normal = self.normalise(text)
+            text = normal if normal or self.normalise.squeeze else BLANK * self.prefix
+            if text and normal:
+                text = " " + text if self.prefix else text
+        elif text and self.prefix:
+            text = " " + text
         if not text:
             return array("i")
-        text = " " + text if self.prefix else text
+        out = self._pieces(text)
+        if self.bytes:
+            return out
+        return array("i", [x for k, x in enumerate(out) if x != self.unknown or not k or out[k - 1] != x])
+
+    def _pieces(self, text: str) -> array:
         if not self.by_word or BLANK in text:
             return self._cut(text)
         out = array("i")
@@ -206,7 +227,7 @@ class Transducer(dict):
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.spell.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        return text[1:] if self.leading and text.startswith(" ") else text
 
 
 class Words(dict):
@@ -245,7 +266,7 @@ class _Sent:
 
     def __init__(self, spark, model: dict):
         self.shared = spark.sparkContext.broadcast(model)
-        self.id = hash((model["kind"], model["prefix"], tuple(model["pieces"].items())))
+        self.id = hash((model["kind"], model["prefix"], tuple(model["pieces"].items()), tuple(model["spellings"].items()), model["squeeze"]))
 
     @property
     def value(self):
@@ -256,7 +277,8 @@ def encode(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     """One row per input row: (id, ids array<int>).
 
     A null text counts as empty and has no ids; a blank mark in a text reads as a blank, as in
-    the model's own library. Whole texts are encoded. Repeated rows are encoded each, an empty
+    the model's own library. Characters in a row that no piece covers are one unknown id in a
+    model without byte pieces. Whole texts are encoded. Repeated rows are encoded each, an empty
     table gives no rows, other columns are not read.
     """
     small_batches(docs.sparkSession)
