@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +44,8 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of at most ``rows`` rows, so that a batch of long texts stays small.
+    """Arrow batches of at most ``rows`` rows and 64 MB and a row, so that a batch of long texts stays
+    small and below the 2 GB that 32-bit offsets reach.
 
     Also names the folder of this package to Python workers, which inherit no path from a driver
     that was started elsewhere. Clusters get the package by --py-files as usual.
@@ -53,6 +56,8 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [own, *paths]))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_bytes(column):
