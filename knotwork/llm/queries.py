@@ -99,7 +99,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removed passages as "start:end" in characters of the original text, and the text that is left."""
     from .substring_dedup import drop_repeated_units
 
-    found = drop_repeated_units(table(spark, sf_dir, "documents"))
+    found = drop_repeated_units(table(spark, sf_dir, "documents"), min_words=15, passage=51)
     spans = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
     return found.select(F.col("id").alias("doc_id"), "n_units", F.size("removed").alias("n_removed"), spans.alias("removed"), "text")
 
@@ -160,12 +160,13 @@ ORACLES = {
             SELECT doc_id, i, plain, len(string_split(plain, ' ')) AS words, lag(plain) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM q WHERE plain != ''
         ), f AS (
             SELECT *, before IS NOT NULL AND min(doc_id) OVER (PARTITION BY before, plain) < doc_id AS linked,
-                   words >= 40 AND min(doc_id) OVER (PARTITION BY plain) < doc_id AS repeated
+                   words >= 15 AND min(doc_id) OVER (PARTITION BY plain) < doc_id AS repeated,
+                   coalesce(lag(words) OVER (PARTITION BY doc_id ORDER BY i), 0) AS ahead, coalesce(lead(words) OVER (PARTITION BY doc_id ORDER BY i), 0) AS behind
             FROM u
         ), g AS (
             SELECT *, count(*) FILTER (NOT linked) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f
         ), r AS (
-            SELECT doc_id, run, min(i) AS lo, max(i) AS hi FROM g GROUP BY doc_id, run HAVING (count(*) > 1 OR bool_or(repeated)) AND sum(words) >= 40
+            SELECT doc_id, run, min(i) AS lo, max(i) AS hi FROM g GROUP BY doc_id, run HAVING (count(*) > 1 OR bool_or(repeated)) AND sum(words) >= 15 AND arg_min(ahead, i) + sum(words) + arg_max(behind, i) >= 51
         ), m AS (
             SELECT q.doc_id, q.i, q.part, q.start, r.run FROM q LEFT JOIN r ON q.doc_id = r.doc_id AND q.i >= r.lo AND (q.i <= r.hi OR q.i = r.hi + 1 AND regexp_matches(q.part, '^[.!?,;:]'))
         ), s AS (

@@ -218,7 +218,7 @@ def brute_units(text, marks):
     return out
 
 
-def brute_passages(rows, marks, min_words):
+def brute_passages(rows, marks, min_words, passage=0):
     """Every unit and every two units in a row are looked for in all documents that rank before."""
     units = {i: brute_units(t or "", marks) for i, t in rows}
     out = []
@@ -233,6 +233,7 @@ def brute_passages(rows, marks, min_words):
                 run = [n]
                 runs.append(run)
         gone = [r for r in runs if sum(len(own[n]) for n in r) >= min_words and (len(r) > 1 or any(own[r[0]] in o for o in before))]
+        gone = [r for r in gone if sum(len(own[n]) for n in range(max(0, r[0] - 1), min(len(own), r[-1] + 2))) >= passage]
         spans = [(units[i][r[0]][1], units[i][r[-1]][2]) for r in gone]
         rest = "".join(c for n, c in enumerate(t) if not any(s <= n < e for s, e in spans))
         out.append((i, len(own), spans, rest))
@@ -258,6 +259,24 @@ def test_passages(spark, unit, marks):
         assert found[63][2] and not found[62][2] and found[66][2]
 
 
+def test_passages_cut_by_clauses(spark):
+    """Passages of 51 to 60 words that start and end inside clauses, put into the middle of other texts."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abdeiklmnorstu") for _ in range(r.randint(2, 8)))
+    text = lambda n: "".join(word() + (r.choice([". ", ", ", "? "]) if r.random() < 0.12 else " ") for _ in range(n))
+    rows, planted = [], set()
+    for i in range(0, 120, 3):
+        passage = text(r.randint(51, 60)).strip()
+        rows += [(i, text(60) + passage + " " + text(60)), (i + 1, text(200)), (i + 2, text(90) + passage + " " + text(30))]
+        planted.add(i + 2)
+    phrase = text(18).replace(".", "").replace(",", "").replace("?", "")
+    rows += [(i, f"{word()}. {phrase}. {word()}. {text(80)}") for i in range(200, 210)]
+    found = passages(substring_dedup.drop_repeated_units(docs(spark, rows), min_words=15, passage=51))
+    assert found == brute_passages(rows, ".!?,;:", 15, 51)
+    hit = {f[0] for f in found if f[2]}
+    assert hit <= planted and len(hit) >= 0.9 * len(planted)
+
+
 def test_passage_cases(spark):
     drop = substring_dedup.drop_repeated_units
     assert drop(docs(spark, [])).count() == 0
