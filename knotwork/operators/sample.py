@@ -16,8 +16,8 @@ from knotwork.operators.encode import COUNT, Relation
 @dataclass
 class Sampling:
     """``mode`` is "manual" (the ``largest_k`` largest groups) or "auto": as many of the largest
-    as cover that share of the rows, then at least ``min_k`` and at most ``max_k``. Tables of fewer
-    than ``from_rows`` distinct rows are checked in full at once, which costs less there."""
+    as cover that share of the rows, then at least ``min_k`` and at most ``max_k``. With ``from_rows``
+    given, tables of fewer distinct rows are checked in full at once, which can cost less there."""
 
     enabled: bool = True
     mode: str = "auto"
@@ -25,7 +25,7 @@ class Sampling:
     coverage: float = 0.3
     min_k: int = 3
     max_k: int = 20
-    from_rows: int = 200_000
+    from_rows: int = 0
 
 
 def group_sizes(rel: Relation, lhs: int) -> DataFrame:

@@ -83,6 +83,10 @@ def discover(df: DataFrame, options: Options | None = None) -> Result:
             rel = relation(df, options.representation)
             sums = rel.df.agg(F.count("*").alias("d"), F.coalesce(F.sum(COUNT), F.lit(0)).alias("r")).first()
             stats.rows, stats.distinct_rows, stats.representation = sums["r"], sums["d"], rel.representation
+            if rel.cardinality:
+                stats.max_cardinality, stats.average_cardinality = max(rel.cardinality), sum(rel.cardinality) / n
+            if rel.representation == "packed":
+                stats.bits_per_column, stats.packed_bits = rel.bits, rel.bits * n
         try:
             return _levels(df.sparkSession, rel, options, stats)
         finally:
@@ -106,12 +110,14 @@ def _levels(spark: SparkSession, rel: Relation, options: Options, stats: Stats)
             closures.reset(sets)
         elif level == 1 or sum(map(closures.superkey, before)) / len(before) < options.superkey_threshold:
             wanted = L.fd_candidates(sets, closures)
+            asked = len(counts)
             with stats.phase("fd"):
                 new = V.level_fds(rel, wanted, counts, options.max_expand) - fds
             with stats.phase("closure"):
                 closures.expand(new, so_far)
             fds |= new
             stats.fd_levels_run += 1
+            stats.fd_queries += -(-(len(counts) - asked) // options.max_expand)
             stats.fd_candidates += sum(len(r) for _, r in wanted)
         else:
             stats.fd_levels_skipped += 1
@@ -127,7 +133,7 @@ def _levels(spark: SparkSession, rel: Relation, options: Options, stats: Stats)
         stats.auto_fd += kinds[L.BY_FD]
         auto = {(x, y) for kind, x, y, _ in level_candidates if kind in L.HOLDS}
         checks = [(x, y, z) for kind, x, y, z in level_candidates if kind == L.CHECK]
-        verdicts = _validate(rel, checks, options, stats)
+        verdicts = _validate(rel, checks, counts, options, stats)
         for kind, x, y, z in level_candidates:
             how, holds = verdicts.get((x, y), ("lattice", True if kind in L.HOLDS else None))
             told.append((kind, x, y, z, how, holds))
@@ -139,10 +145,13 @@ def _levels(spark: SparkSession, rel: Relation, options: Options, stats: Stats)
         least = L.minimal(found, everything, options.mode == "strict")
     stats.fds, stats.found_mvds, stats.minimal_mvds = len(fds), len(found), len(least.mvds)
     stats.not_lhs_minimal, stats.not_rhs_minimal = least.not_lhs_minimal, least.not_rhs_minimal
+    if least.mvds:
+        lefts, rights = ([m.bit_count() for m in side] for side in zip(*least.mvds, strict=True))
+        stats.largest_left, stats.average_left, stats.average_right = max(lefts), sum(lefts) / len(lefts), sum(rights) / len(rights)
     return Result(spark, rel.names, fds, least.mvds, told, stats)
 
 
-def _validate(rel: Relation, checks: list[tuple[int, int, int]], options: Options, stats: Stats) -> dict[tuple[int, int], tuple[str, bool]]:
+def _validate(rel: Relation, checks: list[tuple[int, int, int]], counts: dict[int, int], options: Options, stats: Stats) -> dict[tuple[int, int], tuple[str, bool]]:
     """(lhs, y) -> (sample or full, holds)."""
     by_lhs: dict[int, list[tuple[int, int]]] = {}
     for x, y, z in checks:
@@ -152,14 +161,20 @@ def _validate(rel: Relation, checks: list[tuple[int, int, int]], options: Option
         stats.sent_to_sample += len(checks)
         with stats.phase("sampling"):
             groups = {x: S.sampled_groups(rel, x, options.sampling, stats.rows).persist() for x in by_lhs}
-            sizes = [g.agg(F.count("*").alias("n"), F.sum("size").alias("rows"), F.max("size").alias("most")) for g in groups.values()]
+            sizes = [g.agg(F.count("*").alias("n"), F.sum("size").alias("rows"), F.min("size").alias("least"), F.max("size").alias("most")) for g in groups.values()]
             for i in range(0, len(sizes), options.batch):
                 for size in reduce(DataFrame.unionByName, sizes[i : i + options.batch]).collect():
                     stats.sampled_groups += size["n"]
                     stats.sampled_rows += size["rows"] or 0
                     stats.largest_group = max(stats.largest_group, size["most"] or 0)
+                    stats.smallest_group = min(stats.smallest_group or size["least"] or 0, size["least"] or 0)
+            counts.update(V.distinct_counts(rel, [x for x in by_lhs if x not in counts], options.max_expand))
+            stats.sampled_left_sides += len(by_lhs)
+            stats.all_groups += sum(counts.get(x, 0) for x in by_lhs)
+            stats.sample_queries += len(sizes)
         with stats.phase("sample_pass"):
             queries = [q for x, pairs in by_lhs.items() for q in V.mvd_verdicts(rel, x, pairs, S.rows_of(rel, x, groups[x]), options.max_expand)]
+            stats.sample_queries += len(queries)
             failed = {xy for xy, holds in V.collect_verdicts(queries, options.batch).items() if not holds}
         for g in groups.values():
             g.unpersist()
@@ -168,6 +183,7 @@ def _validate(rel: Relation, checks: list[tuple[int, int, int]], options: Option
     with stats.phase("full_pass"):
         left = {x: [(y, z) for y, z in pairs if (x, y) not in verdicts] for x, pairs in by_lhs.items()}
         queries = [q for x, pairs in left.items() if pairs for q in V.mvd_verdicts(rel, x, pairs, None, options.max_expand)]
+        stats.full_queries += len(queries)
         full = V.collect_verdicts(queries, options.batch)
     stats.sent_to_full += len(full)
     stats.valid_by_full += sum(full.values())

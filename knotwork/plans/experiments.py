@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import argparse
 import logging
+import time
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -28,12 +30,45 @@ def options_of(config: dict) -> Options:
         representation="raw" if not show.get("encoding") else "packed" if show.get("packing") else "encoded",
         fd=bool(fd.get("enabled", True)),
         superkey_threshold=fd.get("superkey_threshold", 0.80),
-        sampling=Sampling(sampling.get("enabled", True), sampling.get("mode", usual.mode), sampling.get("largest_k", usual.largest_k), auto.get("coverage", usual.coverage), auto.get("min_k", usual.min_k), auto.get("max_k", usual.max_k)),
+        sampling=Sampling(sampling.get("enabled", True), sampling.get("mode", usual.mode), sampling.get("largest_k", usual.largest_k), auto.get("coverage", usual.coverage), auto.get("min_k", usual.min_k), auto.get("max_k", usual.max_k), sampling.get("from_rows", usual.from_rows)),
         pruning=Pruning(on("fd_pruning"), on("superset_pruning"), on("discovered_mvd_pruning"), on("complement_pruning")),
         mode=config.get("mode", "reference"),
     )
 
 
+def settings_of(spark: SparkSession, config: dict) -> dict:
+    """What a run was asked to do and with what, for its row; known before anything is read."""
+    o, settings = options_of(config), config.get("spark") or {}
+    cores, workers = tables.total_cores(spark), tables.executors(spark)
+    mode, n, shuffle = tables.partitions_of(settings.get("partitions") or {}, cores)
+    return {
+        "run_id": uuid.uuid4().hex[:12],
+        "started": time.strftime("%Y-%m-%d %H:%M:%S"),
+        "variant": config.get("ablation_variant", ""),
+        "dataset": (config.get("input") or {}).get("path", ""),
+        "asked_representation": o.representation,
+        "mode": o.mode,
+        "fd_enabled": o.fd,
+        "superkey_threshold": o.superkey_threshold,
+        "sampling_enabled": o.sampling.enabled,
+        "sampling_mode": o.sampling.mode,
+        "largest_k": o.sampling.largest_k,
+        "sampling_coverage": o.sampling.coverage,
+        "sampling_min_k": o.sampling.min_k,
+        "sampling_max_k": o.sampling.max_k,
+        "prune_fd": o.pruning.fd,
+        "prune_superset": o.pruning.superset,
+        "prune_discovered": o.pruning.discovered,
+        "prune_complement": o.pruning.complement,
+        "executors": workers,
+        "cores_per_executor": max(1, cores // workers),
+        "partition_mode": mode,
+        "partitions": n,
+        "shuffle_partitions": shuffle,
+        "max_partition_mb": settings.get("max_partition_mb") or 0,
+    }
+
+
 def load(path: str, number: int) -> dict:
     import yaml
 
@@ -47,7 +82,7 @@ def load(path: str, number: int) -> dict:
 def run(spark: SparkSession, config: dict) -> Result:
     """Run one experiment and append its row, also when it fails."""
     given, output, logs = config["input"], config.get("output") or {}, config.get("logging") or {}
-    name, stats = config.get("name", ""), Stats()
+    name, stats, asked = config.get("name", ""), Stats(), settings_of(spark, config)
     try:
         settings = config.get("spark") or {}
         _, n, shuffle = tables.partitions_of(settings.get("partitions") or {}, tables.total_cores(spark))
@@ -69,11 +104,11 @@ def run(spark: SparkSession, config: dict) -> Result:
             for k, v in stats.row().items():
                 log.info("%s: %s", k, v)
         if output.get("save_csv"):
-            results.append(output["output_path"], results.run_row(name, stats, result.mvd_list()))
+            results.append(output["output_path"], results.run_row(name, stats, result.mvd_list(), settings=asked))
         return result
     except Exception as e:
         if output.get("save_csv"):
-            results.append(output["output_path"], results.run_row(name, stats, error=e))
+            results.append(output["output_path"], results.run_row(name, stats, error=e, settings=asked))
         raise
 
 

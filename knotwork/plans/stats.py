@@ -35,11 +35,24 @@ class Stats:
     valid_by_full: int = 0
     sampled_groups: int = 0
     sampled_rows: int = 0
+    sampled_left_sides: int = 0
+    all_groups: int = 0
+    smallest_group: int = 0
     largest_group: int = 0
+    fd_queries: int = 0
+    sample_queries: int = 0
+    full_queries: int = 0
     found_mvds: int = 0
     not_lhs_minimal: int = 0
     not_rhs_minimal: int = 0
     minimal_mvds: int = 0
+    largest_left: int = 0
+    average_left: float = 0.0
+    average_right: float = 0.0
+    max_cardinality: int = 0
+    average_cardinality: float = 0.0
+    bits_per_column: int = 0
+    packed_bits: int = 0
     cached_mb: float = 0.0
     seconds: dict[str, float] = field(default_factory=dict)
     spark: dict[str, float] = field(default_factory=dict)
@@ -58,6 +71,15 @@ class Stats:
     def average_group(self) -> float:
         return self.sampled_rows / self.sampled_groups if self.sampled_groups else 0.0
 
+    def average_of_all_groups(self) -> float:
+        """Rows in a group over all groups of the left sides that were sampled."""
+        return self.rows * self.sampled_left_sides / self.all_groups if self.all_groups else 0.0
+
+    def shares(self) -> dict[str, float]:
+        """What became of the candidates, each as a percentage of those generated."""
+        kinds = ("skipped_complement", "skipped_superset", "auto_superkey", "auto_fd", "rejected_by_sample")
+        return {f"{k}_pct": round(100 * getattr(self, k) / self.generated, 2) if self.generated else 0.0 for k in kinds}
+
     def efficiency(self) -> float:
         """Share of fully checked candidates that hold."""
         return self.valid_by_full / self.sent_to_full if self.sent_to_full else 0.0
@@ -72,16 +94,17 @@ class Stats:
         flat = asdict(self)
         seconds, spark = flat.pop("seconds"), flat.pop("spark")
         total = seconds.get("total", 0.0)
-        flat |= {"sent_to_validation": self.sent_to_validation(), "average_group": self.average_group(), "efficiency": self.efficiency(), "overall_efficiency": self.overall_efficiency()}
+        flat |= {"sent_to_validation": self.sent_to_validation(), "average_group": self.average_group(), "average_of_all_groups": self.average_of_all_groups(), "efficiency": self.efficiency(), "overall_efficiency": self.overall_efficiency()}
         for name in PHASES:
             flat[f"{name}_s"] = round(seconds.get(name, 0.0), 4)
             flat[f"{name}_pct"] = round(100 * seconds.get(name, 0.0) / total, 2) if total else 0.0
-        other = total - sum(seconds.get(p, 0.0) for p in PHASES if p != "total")
-        return flat | {"other_s": round(max(0.0, other), 4)} | {f"spark_{k}": spark.get(k, 0) for k in STAGE_SUMS}
+        other = max(0.0, total - sum(seconds.get(p, 0.0) for p in PHASES if p != "total"))
+        flat |= self.shares() | {"other_s": round(other, 4), "other_pct": round(100 * other / total, 2) if total else 0.0}
+        return flat | {f"spark_{k}": spark.get(k, 0) for k in (*STAGE_SUMS, "stages")}
 
 
 PHASES = ("read", "encode", "fd", "closure", "candidates", "sampling", "sample_pass", "full_pass", "cleanup", "total")
-STAGE_SUMS = ("numTasks", "executorRunTime", "executorCpuTime", "jvmGcTime", "inputBytes", "inputRecords", "outputBytes", "shuffleReadBytes", "shuffleReadRecords", "shuffleWriteBytes", "shuffleWriteRecords", "shuffleFetchWaitTime", "memoryBytesSpilled", "diskBytesSpilled", "peakExecutionMemory")
+STAGE_SUMS = ("numTasks", "numCompleteTasks", "numFailedTasks", "executorDeserializeTime", "resultSerializationTime", "executorRunTime", "executorCpuTime", "jvmGcTime", "inputBytes", "inputRecords", "outputBytes", "shuffleReadBytes", "shuffleReadRecords", "shuffleWriteBytes", "shuffleWriteRecords", "shuffleFetchWaitTime", "memoryBytesSpilled", "diskBytesSpilled", "peakExecutionMemory")
 
 
 def stage_metrics(spark, timeout: float = 5.0) -> dict[str, float]:

@@ -37,6 +37,11 @@ def total_cores(spark: SparkSession) -> int:
     return int(sc.getConf().get("spark.cores.max", "0")) or sc.defaultParallelism
 
 
+def executors(spark: SparkSession) -> int:
+    """Executors that are registered now; a local session's driver counts as one."""
+    return max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)
+
+
 def partitions_of(settings: dict, cores: int) -> tuple[str, int, int]:
     """(mode, partitions, shuffle partitions): given, or multiples of the cores, 1 at least."""
     mode = settings.get("mode", "auto")

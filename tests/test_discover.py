@@ -57,6 +57,14 @@ def test_strict_and_frames(spark):
     assert s.generated == r.candidates.count() and s.sent_to_validation() == s.sent_to_sample and s.row()["minimal_mvds"] == len(r.mvd_list())
 
 
+def test_sampling_statistics(spark):
+    """Two values of one left side, of 6 and 3 rows; every left side is sampled whole."""
+    rows = [("x", str(i), str(i % 2)) for i in range(6)] + [("y", str(i), "0") for i in range(3)]
+    s = discover(table(spark, "abc", rows), Options(fd=False, sampling=Sampling(mode="manual", largest_k=100))).stats
+    assert (s.sampled_left_sides, s.all_groups, s.sampled_groups, s.sampled_rows) == (3, 2 + 6 + 2, 10, 27)
+    assert (s.smallest_group, s.largest_group, s.average_of_all_groups()) == (1, 6, 2.7)
+
+
 def test_empty_table(spark):
     r = discover(table(spark, "abc", []))
     assert r.fd_set() == set() and r.mvd_list() == brute_mvds("abc", [])

@@ -27,6 +27,9 @@ def test_experiment(spark, config):
         X.run(spark, X.load(path, 2))
     rows = list(csv.DictReader(out.open()))
     assert [r["status"] for r in rows] == ["ok", "error"] and len(rows[1]["error"]) <= 500 and rows[0]["minimal_mvds"] == str(len(brute_mvds(*CASES["nulls"])))
+    ok = rows[0]
+    assert len(ok) >= 99 and ok["asked_representation"] == "packed" and int(ok["packed_bits"]) == int(ok["bits_per_column"]) * int(ok["columns"]) and int(ok["partitions"]) == 2
+    assert rows[0]["run_id"] != rows[1]["run_id"] and int(ok["fd_queries"]) > 0 and float(ok["average_left"]) <= int(ok["largest_left"])
     with pytest.raises(SystemExit):
         X.load(path, 3)
 
@@ -40,6 +43,15 @@ def test_other_header_is_kept_aside(tmp_path):
     assert (tmp_path / "r.csv").read_text().split() == ["a", "4"]
 
 
+def test_file_address(tmp_path, monkeypatch):
+    results.append(f"file://{tmp_path}/a%20b.csv", {"a": 1})
+    results.append(f"file://{tmp_path}/a%20b.csv", {"b": 1})
+    monkeypatch.setenv("MVD_RESULTS_DIR", str(tmp_path / "in"))
+    results.append("c.csv", {"a": 1})
+    assert (tmp_path / "in" / "c.csv").exists() and (tmp_path / "a b.csv").read_text().split() == ["b", "1"]
+    assert [p.suffix for p in tmp_path.glob("a b.legacy-*")] == [".csv"]
+
+
 def test_tables(spark, tmp_path):
     assert tables.partitions_of({"mode": "auto", "auto": {"num_multiplier": 0.01}}, 4) == ("auto", 1, 8)
     assert tables.partitions_of({"mode": "manual", "num_partitions": 3, "shuffle_partitions": 5}, 4) == ("manual", 3, 5)
