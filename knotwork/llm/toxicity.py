@@ -160,17 +160,16 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 12_000, min_docs: int = 3, min_share: float = 0.7, lexicon: int = 4000, clear: float = 0.9, cover: int = 3000) -> dict:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 12_000, min_docs: int = 3, min_share: float = 0.7, clear: float = 0.9, cover: int = 3000) -> dict:
     """Model from the documents that ``labels`` (id, label 0 or 1) name.
 
     At most ``most`` ids of each label are used, those with the least hashes, so the texts that
     the model is fitted on are bounded. Candidates are words, and word beginnings of four to
     seven letters, that at least ``min_docs`` toxic documents hold, of whose documents a share
     of ``min_share`` is toxic, and whose log likelihood ratio against the general share exceeds
-    chance over all candidates; the ``lexicon`` best go on, a bound on the fitted model. Of these, insults are those with a
-    share of ``clear`` or more, and further ones chosen one by one, each the one that explains
-    most toxic documents without an insult so far (among ``cover`` of them), until the next
-    explains fewer than ``min_docs``. Null labels and ids are left out; an id that repeats
+    chance over all candidates. Of these, insults are those with a share of ``clear`` or more, and
+    further ones chosen one by one, each the one that explains most toxic documents without an
+    insult so far (among ``cover`` of them), until the next explains fewer than ``min_docs``. Null labels and ids are left out; an id that repeats
     counts as toxic if any of its labels is. Without toxic rows the lexicon is empty and every
     score low.
     """
@@ -195,10 +194,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         share = F.col("bad") / (F.col("bad") + F.col("good"))
         log_of = lambda x: F.log(F.greatest(x, F.lit(1e-12)))
         evidence = F.col("bad") * log_of(share / max(base, 1e-9)) + F.col("good") * log_of((1 - share) / max(1 - base, 1e-9))
-        strong = counted.filter((share >= min_share) & (evidence > math.log(max(1, counted.count())) + 3)).orderBy(F.desc(evidence), "stem", "w").limit(lexicon)
+        strong = counted.filter((share >= min_share) & (evidence > math.log(max(1, counted.count())) + 3))
         best = {(r["w"], r["stem"]): (r["bad"], r["good"]) for r in strong.select("w", "stem", "bad", "good").collect()}
         some = chosen.filter("toxic").select("doc").distinct().orderBy("doc").limit(cover)
-        met = terms.join(F.broadcast(some), "doc").join(F.broadcast(strong.select("w", "stem")), ["w", "stem"]).distinct()
+        met = terms.join(F.broadcast(some), "doc").join(strong.select("w", "stem"), ["w", "stem"]).distinct()
         holds = {(r["w"], r["stem"]): set(r["docs"]) for r in met.groupBy("w", "stem").agg(F.collect_set("doc").alias("docs")).collect()}
         counted.unpersist()
         model = {"words": {}, "stems": {}, "offsets": OFFSETS, "calibration": [1.0, 0.5, -2.0, -4.0]}
