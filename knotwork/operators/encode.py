@@ -88,30 +88,33 @@ class Relation:
             d.unpersist()
 
 
-def relation(df: DataFrame, representation: str = "raw") -> Relation:
+def relation(df: DataFrame, representation: str = "raw", counts: str | None = None) -> Relation:
     """Relation of a table in the ``raw``, ``encoded`` or ``packed`` representation.
 
     Null is a value like any other; NaN equals itself. Packing ids of more than 63 bits in all
-    falls back to encoded with a warning. Call ``close`` to free what is held.
+    falls back to encoded with a warning. ``counts`` names a column, not part of the relation, that
+    says how many rows (1 or more) a row stands for. Call ``close`` to free what is held.
     """
     if representation not in ("raw", "encoded", "packed"):
         raise ValueError(f"unknown representation {representation!r}")
-    names = df.columns
+    names = [c for c in df.columns if c != counts]
     n = len(names)
-    df = df.toDF(*[f"c{i}" for i in range(n)])
     columns, sizes, bits, held = [f"c{i}" for i in range(n)], None, None, []
+    new = iter(columns)
+    df = df.toDF(*[COUNT if c == counts else next(new) for c in df.columns])
+    many = F.count("*") if counts is None else F.sum(COUNT)
     if representation != "raw":
-        ids = dictionary(df).persist(StorageLevel.MEMORY_AND_DISK)
+        ids = dictionary(df, columns).persist(StorageLevel.MEMORY_AND_DISK)
         held.append(ids)
         sizes = cardinalities(ids, n)
         bits = B.bits_for(max(sizes, default=0))
         if representation == "packed" and not B.fits(n, bits):
             warnings.warn(f"{n} columns of {bits} bits don't fit into {B.ROOM}; rows stay encoded", stacklevel=2)
             representation = "encoded"
-        df = encode(df, ids, columns, sizes=sizes).toDF(*columns)
+        df = encode(df, ids, columns, sizes=sizes).withColumnsRenamed({f"e{i}": c for i, c in enumerate(columns)})
     if representation == "packed":
-        rows = df.groupBy(B.pack([F.col(c) for c in columns], bits).alias("packed")).agg(F.count("*").alias(COUNT)).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = df.groupBy(B.pack([F.col(c) for c in columns], bits).alias("packed")).agg(many.alias(COUNT)).persist(StorageLevel.MEMORY_AND_DISK)
         view = rows.select(*[B.unpack(F.col("packed"), i, n, bits).alias(f"c{i}") for i in range(n)], COUNT)
     else:
-        rows = view = df.groupBy(*columns).agg(F.count("*").alias(COUNT)).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = view = df.groupBy(*columns).agg(many.alias(COUNT)).persist(StorageLevel.MEMORY_AND_DISK)
     return Relation(view, names, representation, sizes, bits, [*held, rows])

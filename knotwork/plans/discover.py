@@ -65,22 +65,25 @@ class Result:
         return self.spark.createDataFrame(rows, "kind string, lhs array<string>, rhs array<string>, z array<string>, decided_by string, holds boolean")
 
 
-def discover(df: DataFrame, options: Options | None = None) -> Result:
+def discover(df: DataFrame, options: Options | None = None, counts: str | None = None) -> Result:
     """Functional dependencies, and minimal non-trivial multivalued dependencies, of ``df``.
 
     Left sides have 1 to n - 2 attributes, so a table of two columns or fewer has none. Null is
     a value, rows are a set. An empty table has no functional dependency and every multivalued.
+    ``counts`` names a column that says how many rows a row stands for: what a join would make can
+    so be given with both sides grouped first.
     """
     options = options or Options()
-    n = len(df.columns)
+    names = [c for c in df.columns if c != counts]
+    n = len(names)
     if n > options.widest:
         raise ValueError(f"{n} columns make {2**n} attribute sets; choose fewer or raise Options.widest")
     stats = Stats(columns=n, search_space=L.search_space(n))
     with stats.phase("total"):
         if n <= 2:
-            return Result(df.sparkSession, df.columns, set(), [], [], stats)
+            return Result(df.sparkSession, names, set(), [], [], stats)
         with stats.phase("encode"):
-            rel = relation(df, options.representation)
+            rel = relation(df, options.representation, counts)
             sums = rel.df.agg(F.count("*").alias("d"), F.coalesce(F.sum(COUNT), F.lit(0)).alias("r")).first()
             stats.rows, stats.distinct_rows, stats.representation = sums["r"], sums["d"], rel.representation
             if rel.cardinality:

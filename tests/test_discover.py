@@ -115,3 +115,30 @@ def test_profile(spark):
 
 def test_stats_defaults():
     assert Stats().efficiency() == 0 and Stats().average_group() == 0
+
+
+@pytest.mark.parametrize("representation", ["raw", "encoded", "packed"])
+def test_counted_rows(spark, representation):
+    """A table with counts is the table with its rows repeated, however its columns are placed."""
+    columns, rows = CASES["shop"]
+    repeated = [r for i, r in enumerate(rows) for _ in range(i % 3 + 1)]
+    counted = table(spark, columns, repeated).groupBy(*columns).count().select("count", *columns)
+    mine, plain = discover(counted, Options(representation=representation), "count"), discover(table(spark, columns, repeated), Options(representation=representation))
+    assert mine.names == list(columns) and mine.mvd_list() == plain.mvd_list() and mine.fd_set() == plain.fd_set()
+    for name in ("rows", "distinct_rows", "sampled_groups", "sampled_rows", "largest_group", "smallest_group", "all_groups"):
+        assert getattr(mine.stats, name) == getattr(plain.stats, name), name
+
+
+def test_joins_are_grouped_first(spark, tmp_path):
+    """200,000 customers and 20,000 suppliers of two nations, with null keys and repeated rows: two thousand million rows if joined plainly."""
+    from knotwork.plans import queries as Q
+
+    small = str(tmp_path / "small")
+    for folder, customers, suppliers in ((small, 60, 40), (str(tmp_path), 200_000, 20_000)):
+        spark.range(customers).selectExpr("nullif(cast(id % 3 AS int), 2) AS c_nationkey", "concat('m', id % 4) AS c_mktsegment").write.parquet(f"{folder}/customer.parquet")
+        spark.range(suppliers).selectExpr("nullif(cast(id % 3 AS int), 2) AS s_nationkey", "id % 20 AS s_suppkey").write.parquet(f"{folder}/supplier.parquet")
+    plain = Q.load(spark, small, "flag").groupBy("n", "m", "s").count()
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, Q.load(spark, small, "flag", counted=True).collect()))
+    stats = Q.discovered(spark, str(tmp_path), "flag", Options()).stats
+    assert stats.distinct_rows == 2 * 4 * 20
+    assert stats.rows == 66_667 * 6_667 + 66_667 * 6_667
