@@ -26,3 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
         labels = moved.select("v", "l")
         if moved.filter("l != old").isEmpty():
             return labels.withColumnRenamed("l", "root")
+
+
+def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components (v, root) after more ``edges`` (a, b), which count once for each two roots that they link."""
+    of = lambda c: roots.select(F.col("v").alias(c), F.col("root").alias(f"r{c}"))
+    above = components(edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    new = above.select("v", F.col("v").alias("root")).join(roots, "v", "left_anti")
+    return cut(roots.select("v", "root").union(new).join(above.select(F.col("v").alias("root"), F.col("root").alias("above")), "root", "left").select("v", F.coalesce("above", "root").alias("root")))

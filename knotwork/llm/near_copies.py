@@ -8,7 +8,9 @@ of sets in one global order, two with similarity s or more share an element amon
 
 1. Close fingerprints, and neighbours in size among the texts that hold one prefix element,
    propose links, in rows proportional to the elements; the similar ones make first groups.
-2. Of each prefix element, texts of different groups are compared.
+2. Of each prefix element, each text is compared with the one of another group whose sketch is
+   nearest, in rows proportional to the elements, which joins the parts of a large group; then all
+   texts of groups that are still different.
 
 Before whole sets are compared, sketches rule pairs out exactly: each element flips one of 1,024
 bits, so sketches differ in no more bits than sets in elements, and similar sets differ in at most
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, share_broadcast, small_batches, text_bytes
-from .components import components
+from .components import components, joined
 from .simhash import fold, links, shingle_hashes
 
 #: Words in a shingle; similarity as a fraction of two integers, so that comparing is exact.
@@ -132,20 +134,33 @@ def _beside(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(v[i]), pa.array(v[i + 1])], names=["a", "b"])
 
 
-def _pairs(batches: Iterator) -> Iterator:
-    """All pairs at one key that are of different roots and may be similar."""
-    import pyarrow as pa
+def _pairs(nearest: bool):
+    """All pairs at one key that are of different roots and may be similar; ``nearest``: of each row only that with the nearest sketch."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for key, v, root, n, bits in _runs(batches, ("v", "root", "n"), True):
+            starts = np.concatenate((np.nonzero(np.diff(key, prepend=key[0] - 1))[0], [len(key)]))
+            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                a, b = [], []
+                for i in range(lo + 1, hi):
+                    # rows of a run go by size
+                    least = lo + int(np.searchsorted(n[lo:i], -(-PART * n[i] // WHOLE)))
+                    j = least + np.nonzero(root[least:i] != root[i])[0]
+                    j = j[may_be_similar(n[i], n[j], bits[i], bits[j])]
+                    if nearest and len(j):
+                        j = j[[np.bitwise_count(bits[i] ^ bits[j]).sum(axis=-1, dtype=np.int64).argmin()]]
+                    if len(j):
+                        a.append(np.full(len(j), v[i]))
+                        b.append(v[j])
+                        if len(a) == 1024:
+                            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                            a, b = [], []
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    for key, v, root, n, bits in _runs(batches, ("v", "root", "n"), True):
-        starts = np.concatenate((np.nonzero(np.diff(key, prepend=key[0] - 1))[0], [len(key)]))
-        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            for i in range(lo + 1, hi):
-                # rows of a run go by size
-                least = lo + int(np.searchsorted(n[lo:i], -(-PART * n[i] // WHOLE)))
-                j = least + np.nonzero(root[least:i] != root[i])[0]
-                j = j[may_be_similar(n[i], n[j], bits[i], bits[j])]
-                if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), v[i])), pa.array(v[j])], names=["a", "b"])
+    return run
 
 
 def _still_open(batches: Iterator) -> Iterator:
@@ -205,14 +220,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     beside = met.repartition("key").sortWithinPartitions("key", "n", "v").mapInArrow(_beside, "a long, b long")
     first = verified(close.select(F.col("va").alias("a"), F.col("vb").alias("b")).union(equal).union(beside), rows, one)
     roots = components(first)
-    # a key whose texts are all of one group has nothing left to find
-    few = share_broadcast(roots, roots.count(), 500_000)
-    placed = met.join(few, "v", "left").select("key", "v", "n", F.coalesce("root", "v").alias("root"))
-    open_keys = cut(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key"))
-    # only here sketches go along, as all pairs of different groups are looked at
-    dealt = placed.join(open_keys, "key").join(one.select("v", "sketch"), "v")
-    more = verified(dealt.repartition("key").sortWithinPartitions("key", "n", "v").mapInArrow(_pairs, "a long, b long"), rows, one)
-    roots = components(first.union(more))
+    for nearest in (True, False):
+        # a key whose texts are all of one group has nothing left to find
+        few = share_broadcast(roots, roots.count(), 500_000)
+        placed = met.join(few, "v", "left").select("key", "v", "n", F.coalesce("root", "v").alias("root"))
+        open_keys = cut(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key"))
+        # only here sketches go along, as pairs of different groups are looked at
+        dealt = placed.join(open_keys, "key").join(one.select("v", "sketch"), "v")
+        more = verified(dealt.repartition("key").sortWithinPartitions("key", "n", "v").mapInArrow(_pairs(nearest), "a long, b long"), rows, one)
+        roots = joined(roots, more)
     named = prints.select("id", "v").join(roots, "v", "left").select("id", F.coalesce("root", "v").alias("root"))
     named = cut(named)
     # cut, so that the join deals both sides anew and can split a large group

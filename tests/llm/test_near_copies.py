@@ -81,3 +81,32 @@ def test_wide_sketches_fold():
         assert len(wide) * 8 >= n and len(wide) * 4 < n * 2
         assert N.folded(np.frombuffer(wide, np.uint64), N.SKETCH // 8).tobytes() == N.sketch(items)
     assert N.wide_sketch(items[:1024]) == b""
+
+
+def test_parts_of_a_large_group_meet_in_linear_rows():
+    """400 texts at one key, of two groups and alike: one pair a text first, not 200 times 200."""
+    import numpy as np
+    import pyarrow as pa
+
+    from knotwork.llm import near_copies as N
+
+    r = np.random.default_rng(5)
+    items = np.unique(r.integers(0, 1 << 62, 300).astype(np.uint64))
+    sketches = [N.sketch(np.delete(items, i % len(items))) for i in range(400)]
+    long = lambda x: pa.array(np.asarray(x, np.int64))
+    batch = pa.RecordBatch.from_arrays([long([7] * 400), long(range(400)), long([i % 2 for i in range(400)]), long([299] * 400), pa.array(sketches, pa.binary())], names=["key", "v", "root", "n", "sketch"])
+    pairs = lambda nearest: [p for b in N._pairs(nearest)(iter([batch])) for p in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)]
+    every, few = pairs(False), pairs(True)
+    assert len(every) == len(set(every)) == 200 * 200 and len(few) == 399 and set(few) < set(every)
+
+
+def test_joined_is_components_of_all_edges(spark):
+    from knotwork.llm.components import components, joined
+
+    r = random.Random(2)
+    edges = [(r.randrange(80), r.randrange(80)) for _ in range(60)]
+    frame = lambda x: spark.createDataFrame(x, "a long, b long")
+    rows = lambda d: {(x["v"], x["root"]) for x in d.collect()}
+    assert rows(joined(components(frame(edges[:25])), frame(edges[25:]))) == rows(components(frame(edges)))
+    assert rows(joined(components(frame([])), frame(edges))) == rows(components(frame(edges)))
+    assert rows(joined(components(frame(edges)), frame([]))) == rows(components(frame(edges)))
