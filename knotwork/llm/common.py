@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -35,6 +36,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished steps left: shuffle files, checkpoints, broadcasts and, in the driver's heap, their plans.
+
+    Spark drops these when the driver happens to collect its garbage, so that many small steps fill
+    any heap before that, however little of it is in use.
+    """
+    gc.collect()  # Python's handles keep the driver's objects
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names made from ``names`` that ``df`` doesn't have, whatever their case."""
     taken, mark = {c.lower() for c in df.columns}, "__kw_"

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, share_broadcast, small_batches, text_bytes
+from .common import cut, fresh, release, share_broadcast, small_batches, text_bytes
 from .components import components, joined
 from .simhash import fold, links, shingle_hashes
 
@@ -40,6 +40,8 @@ WORDS, PART, WHOLE = 5, 4, 5
 COMMON, SOME, LAST = 4, 5_000, 200_000
 #: Bytes of a sketch.
 SKETCH = 128
+#: At most so many links are joined on the driver.
+FEW = 200_000
 
 
 def elements(found: np.ndarray) -> np.ndarray:
@@ -213,13 +215,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keyed = one.select("v", "n", F.explode("prefix").alias("key"))
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("count")).filter("count > 1").select("key"))
     met = cut(keyed.join(shared, "key"))
+    release(docs.sparkSession)
     # proposals: close fingerprints, equal ones, and neighbours in size at one key
     least = cut(one.groupBy("fp").agg(F.min("v").alias("least")))
     close = links(least.select("fp")).join(least.select(F.col("fp").alias("a"), F.col("least").alias("va")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("vb")), "b")
     equal = one.join(least, "fp").select(F.col("v").alias("a"), F.col("least").alias("b"))
     beside = met.repartition("key").sortWithinPartitions("key", "n", "v").mapInArrow(_beside, "a long, b long")
     first = verified(close.select(F.col("va").alias("a"), F.col("vb").alias("b")).union(equal).union(beside), rows, one)
-    roots = components(first)
+    release(docs.sparkSession)
+    roots = components(first, FEW)
     for nearest in (True, False):
         # a key whose texts are all of one group has nothing left to find
         few = share_broadcast(roots, roots.count(), 500_000)
@@ -228,7 +232,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         # only here sketches go along, as pairs of different groups are looked at
         dealt = placed.join(open_keys, "key").join(one.select("v", "sketch"), "v")
         more = verified(dealt.repartition("key").sortWithinPartitions("key", "n", "v").mapInArrow(_pairs(nearest), "a long, b long"), rows, one)
-        roots = joined(roots, more)
+        release(docs.sparkSession)
+        roots = joined(roots, more, FEW)
     named = prints.select("id", "v").join(roots, "v", "left").select("id", F.coalesce("root", "v").alias("root"))
     named = cut(named)
     # cut, so that the join deals both sides anew and can split a large group

@@ -110,3 +110,38 @@ def test_joined_is_components_of_all_edges(spark):
     assert rows(joined(components(frame(edges[:25])), frame(edges[25:]))) == rows(components(frame(edges)))
     assert rows(joined(components(frame([])), frame(edges))) == rows(components(frame(edges)))
     assert rows(joined(components(frame(edges)), frame([]))) == rows(components(frame(edges)))
+
+
+def test_few_edges_are_joined_on_the_driver(spark):
+    """The same components as by rounds of jobs, in a few jobs; above the bound by rounds."""
+    import numpy as np
+
+    from knotwork.llm.components import components, joined, least_labels
+
+    r = random.Random(4)
+    edges = [(r.randrange(-90, 90), r.randrange(-90, 90)) for _ in range(80)] + [(5, 5)]
+    frame = lambda x: spark.createDataFrame(x, "a long, b long")
+    rows = lambda d: {(x["v"], x["root"]) for x in d.collect()}
+    jobs, expected = {}, rows(components(frame(edges)))
+    for few in (0, 10, 1000):
+        spark.sparkContext.setJobGroup(f"few {few}", "")
+        assert rows(joined(components(frame(edges[:40]), few), frame(edges[40:]), few)) == expected
+        jobs[few] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"few {few}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 2 * jobs[1000] < jobs[0]
+    assert rows(components(frame([]), 10)) == set()
+    way = np.random.default_rng(1).permutation(5000)
+    v, root = least_labels(way[1:], way[:-1])
+    assert v.tolist() == list(range(5000)) and not root.any()
+
+
+def test_release_lets_go_of_what_only_python_cycles_hold(spark):
+    from knotwork.llm.common import release
+
+    sc = spark.sparkContext
+    held = [sc._gateway.new_array(sc._jvm.byte, 1 << 20)]
+    held.append(held)
+    weak = sc._jvm.java.lang.ref.WeakReference(held[0])
+    del held
+    release(spark)
+    assert weak.get() is None
