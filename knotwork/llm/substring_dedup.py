@@ -94,7 +94,9 @@ def _digests(unit: str, min_words: int):
     return run
 
 
-def _remove(unit: str, min_words: int, passage: int):
+def remove(find, n: str = "n_units"):
+    """Takes from each text what ``find(text, gone)`` names: the number of units, (start, end) in bytes of what goes."""
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -104,7 +106,7 @@ def _remove(unit: str, min_words: int, passage: int):
             out = ([], [], [])
             for s, e, gone in zip(ends[:-1].tolist(), ends[1:].tolist(), b.column("gone").to_pylist(), strict=True):
                 data = bytes(view[s:e])
-                n, found = runs(data, unit, min_words, passage, set(gone or ()))
+                size, found = find(data, gone or ())
                 spans, kept, at, chars = [], [], 0, 0
                 for start, end in found:
                     kept.append(data[at:start].decode())
@@ -113,10 +115,10 @@ def _remove(unit: str, min_words: int, passage: int):
                     spans.append({"start": chars, "end": chars + lost})
                     at, chars = end, chars + lost
                 kept.append(data[at:].decode())
-                for o, x in zip(out, (n, spans, "".join(kept)), strict=True):
+                for o, x in zip(out, (size, spans, "".join(kept)), strict=True):
                     o.append(x)
             columns = [b.column("id"), pa.array(out[0], pa.int32()), pa.array(out[1], span), pa.array(out[2], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_units", "removed", "text"])
+            yield pa.RecordBatch.from_arrays(columns, names=["id", n, "removed", "text"])
 
     return run
 
@@ -157,4 +159,5 @@ def drop_repeated_units(docs: DataFrame, unit: str = "clause", min_words: int =
     size = gone.agg(F.sum(F.size("gone") * 4 + 64)).first()[0] or 0
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     met = rows.join(share_broadcast(gone, size, SHARED), F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left")
-    return met.select("id", "text", "gone").mapInArrow(_remove(unit, min_words, passage), f"id {docs.schema[id_col].dataType.simpleString()}, n_units int, removed array<struct<start:int,end:int>>, text string")
+    find = lambda data, gone: runs(data, unit, min_words, passage, set(gone))
+    return met.select("id", "text", "gone").mapInArrow(remove(find), f"id {docs.schema[id_col].dataType.simpleString()}, n_units int, removed array<struct<start:int,end:int>>, text string")
